@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import contamination, lines, mixing, secrets, tokens
 
 QUERIES = {
+    "op4_quality": lines.op4_quality,
+    "op5_token_counts": tokens.op5_token_counts,
     "op6_mix": mixing.op6_mix,
     "op7_secrets": secrets.op7_secrets,
+    "op10_decontaminate": contamination.op10_decontaminate,
 }
 
 ORACLES = {
     "op6_mix": mixing.OP6_SQL,
+    "op10_decontaminate": contamination.OP10_SQL,
 }
