@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import contamination, lines, mixing, secrets, tokens
+from . import archives, contamination, lines, mixing, secrets, tokens
 
 QUERIES = {
+    "op1_warc": archives.op1_warc,
     "op4_quality": lines.op4_quality,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_mix": mixing.op6_mix,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc": archives.OP1_SQL,
     "op6_mix": mixing.OP6_SQL,
     "op10_decontaminate": contamination.OP10_SQL,
 }
