@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, contamination, lines, mixing, nearcopies, secrets, tokens
+from . import archives, contamination, lines, mixing, nearcopies, passages, secrets, tokens
 
 QUERIES = {
     "op1_warc": archives.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_counts": tokens.op5_token_counts,
     "op6_mix": mixing.op6_mix,
     "op7_secrets": secrets.op7_secrets,
+    "op8_passages": passages.op8_passages,
     "op9_near_copies": nearcopies.op9_near_copies,
     "op10_decontaminate": contamination.op10_decontaminate,
 }
