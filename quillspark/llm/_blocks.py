@@ -47,11 +47,15 @@ def _all_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
 
 
 def find_blocks(s: Symbols, gram: int, window: int):
-    """(document, lo, hi, gram hash, content hash): windows lo..hi in places of the slice."""
+    """(document, lo, hi, gram hash, content hash, inside): windows lo..hi in places of the slice.
+
+    ``inside`` tells that the smallest gram stands in the block twice, so that windows of the block may be equal.
+    """
     starts = window_starts(s.first, window)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    least, size, span = _all_hashes(s.prefix, gram), 1, window - gram + 1
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
+    grams = _all_hashes(s.prefix, gram)
+    least, size, span = grams, 1, window - gram + 1
     while size * 2 <= span:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
@@ -62,8 +66,15 @@ def find_blocks(s: Symbols, gram: int, window: int):
     new = np.ones(len(starts), bool)
     new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
-    lo, hi = starts[at], starts[np.append(at[1:], len(starts)) - 1]
-    return doc[at], lo, hi, least[at], range_hash(s.prefix, lo, hi + window)
+    lo, hi, least = starts[at], starts[np.append(at[1:], len(starts)) - 1], least[at]
+    inside = np.zeros(len(at), bool)
+    if not s.words:
+        for a in range(0, len(at), 8192):  # bounds the places looked at together
+            l, sizes = lo[a : a + 8192], (hi - lo)[a : a + 8192] + span
+            begin = np.cumsum(sizes) - sizes
+            places = np.arange(int(sizes.sum())) + np.repeat(l - begin, sizes)
+            inside[a : a + 8192] = np.add.reduceat((grams[places] == np.repeat(least[a : a + 8192], sizes)).astype(np.int64), begin) > 1
+    return doc[at], lo, hi, least, range_hash(s.prefix, lo, hi + window), inside
 
 
 _PACKED = "sha binary, n long, kept_sha string, gram binary, body binary, lo binary, hi binary"
@@ -75,9 +86,9 @@ def scan(docs: DataFrame, words: bool, gram: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
             s = Symbols(part.column("text"), words)
-            doc, lo, hi, g, h = find_blocks(s, gram, window)
+            doc, lo, hi, g, h, inside = find_blocks(s, gram, window)
             at = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            lo, hi = (lo - s.first[doc]).astype(np.uint32), (hi - s.first[doc]).astype(np.uint32)
+            lo, hi = (lo - s.first[doc]).astype(np.uint32), (hi - s.first[doc]).astype(np.uint32) | (inside.astype(np.uint32) << 31)
             raw = s.raw.tobytes()
             rows = [[] for _ in range(6)]
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
@@ -96,7 +107,7 @@ def scan(docs: DataFrame, words: bool, gram: int, window: int) -> DataFrame:
 
 
 def unpack(rows: DataFrame) -> DataFrame:
-    """A row per block: gram, body, node, doc, lo, hi."""
+    """A row per block: gram, body, node, doc, lo, hi, inside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,12 +119,13 @@ def unpack(rows: DataFrame) -> DataFrame:
                     continue
                 whole = lambda name, kind: np.frombuffer(b"".join(part.column(name).to_pylist()), kind)
                 take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                hi = whole("hi", np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole("gram", np.int64)), pa.array(whole("body", np.int64)), part.column("node").take(take), part.column("doc_id").take(take), pa.array(np.concatenate(lo).astype(np.int32)), pa.array(whole("hi", np.uint32).astype(np.int32))],
-                    names=["gram", "body", "node", "doc", "lo", "hi"],
+                    [pa.array(whole("gram", np.int64)), pa.array(whole("body", np.int64)), part.column("node").take(take), part.column("doc_id").take(take), pa.array(np.concatenate(lo).astype(np.int32)), pa.array((hi & 0x7FFFFFFF).astype(np.int32)), pa.array(hi >> 31 == 1)],
+                    names=["gram", "body", "node", "doc", "lo", "hi", "inside"],
                 )
 
-    return rows.select("node", "doc_id", "gram", "body", "lo", "hi").mapInArrow(run, "gram long, body long, node binary, doc long, lo int, hi int")
+    return rows.select("node", "doc_id", "gram", "body", "lo", "hi").mapInArrow(run, "gram long, body long, node binary, doc long, lo int, hi int, inside boolean")
 
 
 def join_checked(large: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
