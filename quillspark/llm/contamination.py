@@ -16,7 +16,6 @@ an empty benchmark marks nothing; repeated rows are reported each.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -148,12 +147,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least
 
 
 def clean_of(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 2) -> DataFrame:
-    """Rows of ``docs`` with windows of fewer than ``least_items`` items."""
-    return annotate(docs, items, window).where(F.size("__dc_items") < least_items).select(*docs.columns)
+    """Rows of ``docs`` without a run of ``window`` hit words and with fewer than ``least_items`` items.
 
-
-def items_digest(ids: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    A single item shorter than a window is no proof by itself, as such words stand in clean texts too.
+    """
+    runs = F.transform(F.sequence(F.lit(0), F.size("__dc_spans") - 2, F.lit(2)), lambda i: F.get("__dc_spans", i + 1) - F.get("__dc_spans", i))
+    longest = F.when(F.size("__dc_spans") > 0, F.array_max(runs)).otherwise(F.lit(0))
+    return annotate(docs, items, window).where((F.size("__dc_items") < least_items) & (longest < window)).select(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

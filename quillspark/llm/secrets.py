@@ -13,6 +13,8 @@ are ignored (``find_secrets``) or kept (``redact``).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,8 +88,6 @@ def _hot_windows(value: Column, window: int, bits: Column) -> Column:
         lambda acc, d: F.struct((acc["s"] + d).alias("s"), F.concat(acc["out"], F.array(acc["s"] + d)).alias("out")),
         lambda acc: acc["out"],
     )
-    import math
-
     return F.filter(places, lambda i: (i >= window) & (F.lit(math.log2(window)) - F.get(sums, i - 1) / window >= bits))
 
 
@@ -105,12 +105,11 @@ def _entropy_spans(text: Column, base: Column, window: int) -> Column:
 
         return F.aggregate(ends, empty, merge)
 
-    allowed = lambda x: F.lit(False) if not ALLOWED else (lambda a: a)(_any(x["value"]))
-    found = F.filter(_matches(text, CANDIDATE), lambda x: ~allowed(x))
+    found = F.filter(_matches(text, CANDIDATE), lambda x: ~_allowed(x["value"]))
     return F.filter(F.flatten(F.transform(found, spans)), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
 
 
-def _any(value: Column) -> Column:
+def _allowed(value: Column) -> Column:
     out = F.lit(False)
     for p in ALLOWED:
         out = out | value.rlike(p)
