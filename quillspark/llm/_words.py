@@ -82,15 +82,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def steps(batches, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about STEP_BYTES of text each."""
+def steps(batches, column: str = "text", size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``size`` bytes of text each."""
     for batch in batches:
         if not batch.num_rows:
             continue
         _, off = text_buffers(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + STEP_BYTES, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
 

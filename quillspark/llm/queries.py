@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import archives, contamination, lines, mixing, nearcopies, passages, secrets, suffixes, tokens
+from . import archives, contamination, contextmix, lines, mixing, nearcopies, passages, secrets, suffixes, tokens
 
 QUERIES = {
     "op1_warc": archives.op1_warc,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
+    "op3_context_mixing": contextmix.op3_context_mixing,
     "op4_quality": lines.op4_quality,
     "op5_token_counts": tokens.op5_token_counts,
     "op6_mix": mixing.op6_mix,
