@@ -9,11 +9,15 @@ an index entry.  At the least similarity the distance lies five standard
 deviations above the expected one.
 
 Entries are not expanded into pairs.  First each member is confirmed on full
-sets against the smallest it meets, which gives components; only entries that
-still hold several components are looked at again: their rows, in blocks of
-bounded size, are compared by signature across components, and pairs under the
-distance are confirmed on full sets, most similar first, until none is left
-between components.
+sets against the smallest it meets, which gives components.  Only entries that
+still hold several components are looked at again, in blocks of bounded size.
+For their members the shingles that no other such member holds are counted, and
+all shingles by ``PROFILE`` hash classes; what is left of a set, and the lesser
+counts by class, bound its intersection with another, so pairs that cannot reach
+the similarity are told without a comparison.  A pair is looked at in the first
+entry it shares.  Each row names the nearest few of the rest, by signature and across components; these are confirmed on full
+sets, and rows go on naming more until every pair under the distance lies in one
+component, is out of reach, or has been compared.
 
 Edge cases: null, empty and wordless texts have no set and are linked with
 nothing; fewer words than a shingle make one shingle of all; rows that share an
@@ -41,6 +45,8 @@ CHUNKS = SYMBOLS // CHUNK
 DISTANCE = 2 * CHUNKS - 1
 #: Rows of an index entry that are compared in one task are at most two blocks.
 BLOCK_ROWS = 2048
+#: Hash classes of the shingle counts that bound an intersection.
+PROFILE = 512
 #: Ids that may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -144,36 +150,91 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
     return stage(both.mapInArrow(compare, "a long, b long"), "near-links")
 
 
-def _across(mixed_rows: DataFrame) -> DataFrame:
-    """Pairs under the distance between components, from rows (key, node, comp, sig, major, n, n_minor) in blocks."""
+def _exclusive(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(node, own): how many shingles of a node no other of ``ids`` holds."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    texts = keyed.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches):
+            g, at = shingle_sets(part.column("text"), size)
+            node = part.column("node").take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(at))))
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), node], names=["h", "node"])
+
+    held = texts.mapInArrow(shingles, "h long, node long").groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("_most")).where("node = _most")
+    return held.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _profiles(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(node, profile): shingles by hash class, a byte each; empty where a class holds more than a byte tells."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    texts = keyed.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node", "left_semi")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches):
+            g, at = shingle_sets(part.column("text"), size)
+            kind = (g >> np.uint64(20)) % np.uint64(PROFILE)
+            rows = []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                n = np.bincount(kind[a:b].astype(np.int64), minlength=PROFILE)
+                rows.append(n.astype(np.uint8).tobytes() if n.max() < 256 else b"")
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(rows, pa.binary())], names=["node", "profile"])
+
+    return texts.mapInArrow(count, "node long, profile binary").groupBy("node").agg(F.min("profile").alias("profile"))
+
+
+def _across(mixed_rows: DataFrame, top: int, percent: int) -> DataFrame:
+    """Pairs under the distance between components, the ``top`` nearest of every row and group; ``more`` tells that a row has others.
+
+    Rows are (key, node, comp, sig, n, common, major, n_major, n_minor): ``common`` of a node's n shingles are held by
+    others too, ``profile`` counts all by class, and the major component is an entry's largest.
+    """
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_ROWS))
     dealt = F.xxhash64("node")
     minor = mixed_rows.where("not major").withColumn("_own", F.pmod(dealt, blocks("n_minor")))
     major = mixed_rows.where("major").withColumn("_own", F.pmod(dealt, blocks("n_major")))
     # minor block i meets minor blocks j >= i and every major block; each pair of blocks is a group of its own
     span = lambda n: F.sequence(F.lit(0).cast("long"), blocks(n) - 1)
-    columns = ["key", "node", "comp", "sig"]
-    as_first = minor.select(*columns, F.lit(0).alias("side"), F.col("_own").alias("i"), F.explode(F.concat(F.filter(span("n_minor"), lambda j: j >= F.col("_own")), F.transform(F.when(F.col("n_major") > 0, span("n_major")).otherwise(F.array().cast("array<bigint>")), lambda j: -1 - j))).alias("j"))
+    columns = ["key", "node", "comp", "sig", "n", "common", "profile"]
+    as_first = minor.select(*columns, F.lit(0).alias("side"), F.col("_own").alias("i"), F.explode(F.concat(F.filter(span("n_minor"), lambda j: j >= F.col("_own")), F.transform(span("n_major"), lambda j: -1 - j))).alias("j"))
     as_second = minor.select(*columns, F.lit(1).alias("side"), F.explode(F.filter(span("n_minor"), lambda i: i <= F.col("_own"))).alias("i"), F.col("_own").alias("j"))
     majors = major.select(*columns, F.lit(1).alias("side"), F.explode(span("n_minor")).alias("i"), (-1 - F.col("_own")).alias("j"))
     rows = as_first.unionByName(as_second).unionByName(majors)
 
     def meet(t):
         side = np.asarray(t.column("side"))
-        node, comp = np.asarray(t.column("node")), np.asarray(t.column("comp"))
+        node, comp, n, common = (np.asarray(t.column(k)) for k in ("node", "comp", "n", "common"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        told = t.column("profile").to_pylist()
+        plain = np.array([len(x) == PROFILE for x in told])
+        profile = np.frombuffer(b"".join(x if len(x) == PROFILE else bytes(PROFILE) for x in told), np.uint8).reshape(-1, PROFILE)
+        place = (t.column("key")[0].as_py() & 0xFFFFFFFFFFFFFFFF) >> 48
         p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a, b, m = [], [], []
+        a, b, more = [], [], []
         for i in p:
-            off = (sig[q] != sig[i]).sum(axis=1)
-            hit = q[(off <= DISTANCE) & (comp[q] != comp[i])]
+            most = np.minimum(common[q], common[i])
+            hit = np.flatnonzero((comp[q] != comp[i]) & (100 * most >= percent * (n[q] + n[i] - most)))
+            differ = (sig[q[hit]] != sig[i]).reshape(-1, CHUNKS, CHUNK)
+            wrong = differ.sum(axis=2)
+            chunk = (wrong <= 1).argmax(axis=1)
+            first = chunk * CHUNK + differ[np.arange(len(hit)), chunk].argmax(axis=1)  # no error: the first wildcard
+            off = wrong.sum(axis=1)
+            good = (off <= DISTANCE) & (first == place)
+            hit, off = hit[good], off[good]
+            shared = np.where(plain[q[hit]] & plain[i], np.minimum(profile[q[hit]], profile[i]).sum(axis=1, dtype=np.int64), most[hit])
+            good = 100 * shared >= percent * (n[q[hit]] + n[i] - shared)
+            hit, off = hit[good], off[good]
+            if len(hit) > top:
+                hit = hit[np.lexsort((node[q[hit]], off))[: top + 1]]
+                more.append(np.append(np.zeros(top, bool), True))
+            else:
+                more.append(np.zeros(len(hit), bool))
             a.append(np.full(len(hit), node[i]))
-            b.append(node[hit])
-            m.append(off[np.isin(q, hit)])
-        a, b, m = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, m))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "off": pa.array(m, pa.int64())})
+            b.append(node[q[hit]])
+        a, b, more = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, more))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "more": pa.array(more.astype(bool))})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long, off long").distinct()
+    return rows.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long, more boolean")
 
 
 def link_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -191,26 +252,38 @@ def link_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = _confirmed(docs, tried, shingle, percent)
     found = stage(components(links), "near-components")
     labelled = lambda rows, name, out: rows.join(found.select(F.col("node").alias(name), F.col("component").alias("_c")), name, "left").withColumn(out, F.coalesce("_c", name)).drop("_c")
-    placed = stage(labelled(met.select("key", "node"), "node", "comp"), "near-placed")
-    counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    several = counts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n_all"), F.count("*").alias("n_comps")).where("n_comps > 1")
-    several = stage(several.select("key", F.col("top.comp").alias("top"), F.col("top.n").alias("n_major"), (F.col("n_all") - F.col("top.n")).alias("n_minor")), "near-several")
-    rows = placed.join(several, "key").withColumn("major", F.col("comp") == F.col("top"))
-    sigs = members.groupBy("node").agg(F.min("sig").alias("sig"))
-    open_pairs = stage(_across(rows.join(sigs, "node")).join(tried, ["a", "b"], "left_anti"), "near-open")
-    top = 1
+    places = met.select("key", "node")
+    top, known = 16, None
     while True:
-        now = labelled(labelled(open_pairs, "a", "ca"), "b", "cb").where("ca <> cb")
-        best = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy("off", "a", "b")
-        chosen = stage((now if top > 4096 else now.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top)).select("a", "b"), "near-chosen")
-        if not chosen.limit(1).count():
+        placed = stage(labelled(places, "node", "comp"), "near-placed")
+        counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        several = counts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n_all"), F.count("*").alias("_comps")).where("_comps > 1")
+        several = stage(several.select("key", F.col("top.comp").alias("top"), F.col("top.n").alias("n_major"), (F.col("n_all") - F.col("top.n")).alias("n_minor")), "near-several")
+        rows = placed.join(several, "key").withColumn("major", F.col("comp") == F.col("top"))
+        if known is None:
+            nodes = stage(rows.select("node").distinct(), "near-open")
+            sizes = signed.where("digest is not null").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("_most"), F.min("n_shingles").alias("n"), F.count_distinct("digest").alias("_sets"))
+            # an id with several sets is bounded by none of them
+            common = F.when(F.col("_sets") > 1, F.col("_most")).otherwise(F.col("n") - F.coalesce("own", F.lit(0)))
+            sigs = members.groupBy("node").agg(F.min("sig").alias("sig"))
+            measured = nodes.join(sizes, "node").join(_exclusive(docs, nodes, shingle), "node", "left").select("node", "n", common.alias("common"), (F.col("_sets") > 1).alias("several_sets")).join(sigs, "node")
+            measured = stage(measured.where(100 * F.col("common") >= percent * F.col("n")), "near-measured")
+            known = measured.join(_profiles(docs, measured.select("node"), shingle), "node")
+            known = stage(known.withColumn("profile", F.when(F.col("several_sets"), F.lit(b"")).otherwise(F.col("profile"))).drop("several_sets"), "near-known")
+            places = stage(places.join(known.select("node"), "node", "left_semi"), "near-places")
+            continue
+        near = stage(_across(rows.join(known, "node"), top, percent), "near-pairs")
+        fresh = stage(near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-fresh")
+        if fresh.limit(1).count():
+            tried = stage(tried.unionByName(fresh), "near-tried")
+            new = _confirmed(docs, fresh, shingle, percent)
+            if new.limit(1).count():
+                joined = components(labelled(labelled(new, "a", "ca"), "b", "cb").select("ca", "cb"), "ca", "cb")
+                every = found.unionByName(new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+                found = stage(every.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "near-components")
+        # without more, every pair in reach has been named and compared
+        if not near.where("more").limit(1).count():
             break
-        new = _confirmed(docs, chosen, shingle, percent)
-        if new.limit(1).count():
-            joined = components(labelled(labelled(new, "a", "ca"), "b", "cb").select("ca", "cb"), "ca", "cb")
-            every = found.unionByName(new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
-            found = stage(every.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "near-components")
-        open_pairs = stage(now.select("a", "b", "off").join(chosen, ["a", "b"], "left_anti"), "near-open")
         top *= 16
     to = members.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     linked = signed.drop("sig").join(to, "digest", "left")
