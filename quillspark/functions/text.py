@@ -129,7 +129,7 @@ def remove_diacritics(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All windows of ``n`` consecutive elements, left to right."""
+    """All windows of ``n`` consecutive elements, left to right; pass a plain column, as each window reads it again."""
     if n < 1:
         raise ValueError("n is at least 1")
     starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))

@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SENTENCE = Window.partitionBy("sent").orderBy("pos")
+
+def _sentence():
+    return Window.partitionBy("sent").orderBy("pos")
 
 
 def parse_brown(lines: DataFrame, key: str = "sent", text: str = "value") -> DataFrame:
@@ -48,7 +50,7 @@ class Lexicon:
 
 
 def _near(column: str, offsets: tuple[int, ...], value: str) -> Column:
-    hits = [F.coalesce(F.lead(column, k).over(SENTENCE) == value if k > 0 else F.lag(column, -k).over(SENTENCE) == value, F.lit(False)) for k in offsets]
+    hits = [F.coalesce(F.lead(column, k).over(_sentence()) == value if k > 0 else F.lag(column, -k).over(_sentence()) == value, F.lit(False)) for k in offsets]
     out = hits[0]
     for h in hits[1:]:
         out = out | h
@@ -66,9 +68,9 @@ def condition(name: str, *args: str) -> Column:
     if name == "CURRENT-WORD-IS-CAP":
         return F.col("token").rlike(r"^\p{Lu}") == yes
     if name == "PREV-WORD-IS-CAP":
-        return F.coalesce(F.lag("token").over(SENTENCE).rlike(r"^\p{Lu}"), F.lit(False)) == yes
+        return F.coalesce(F.lag("token").over(_sentence()).rlike(r"^\p{Lu}"), F.lit(False)) == yes
     if name == "NEXT-WORD-IS-CAP":
-        return F.coalesce(F.lead("token").over(SENTENCE).rlike(r"^\p{Lu}"), F.lit(False)) == yes
+        return F.coalesce(F.lead("token").over(_sentence()).rlike(r"^\p{Lu}"), F.lit(False)) == yes
     if name == "CURRENT-WORD-IS-NUMBER":
         return F.col("token").rlike(r"^[+-]?[0-9]+([.,][0-9]+)*$") == yes
     if name == "CURRENT-WORD-IS-URL":
@@ -125,6 +127,10 @@ def evaluate(gold: DataFrame, lexicon: Lexicon, rules: list[Rule]) -> DataFrame:
     return apply_rules(before, rules).agg(F.avg((F.col("before") == F.col("gold")).cast("double")).alias("accuracy_before"), F.avg((F.col("tag") == F.col("gold")).cast("double")).alias("accuracy"))
 
 
+def _named(values: Column, name: str) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(name).alias("name"), v.alias("value")))
+
+
 def train_rules(gold: DataFrame, lexicon: Lexicon, templates=("PREV-TAG", "NEXT-TAG", "PREV-1-OR-2-TAG", "NEXT-1-OR-2-TAG", "PREV-WORD", "NEXT-WORD"), most: int = 10, least: int = 2) -> list[Rule]:
     """Propose a rule at every error, score what it mends less what it breaks, accept the best, repeat."""
     from .graphs import checkpointed
@@ -138,8 +144,8 @@ def train_rules(gold: DataFrame, lexicon: Lexicon, templates=("PREV-TAG", "NEXT-
             m = re.fullmatch(r"(PREV|NEXT)(?:-(1-OR-2))?-(TAG|WORD)", t)
             column = "tag" if m[3] == "TAG" else "token"
             move = F.lag if m[1] == "PREV" else F.lead
-            values = F.array_distinct(F.array_compact(F.array(*[move(column, k).over(SENTENCE) for k in ((1, 2) if m[2] else (1,))])))
-            options.append(F.transform(values, lambda v, t=t: F.struct(F.lit(t).alias("name"), v.alias("value"))))
+            values = F.array_distinct(F.array_compact(F.array(*[move(column, k).over(_sentence()) for k in ((1, 2) if m[2] else (1,))])))
+            options.append(_named(values, t))
         sites = seen.withColumn("_c", F.concat(*options)).select("tag", "gold", F.explode("_c").alias("c"))
         counts = sites.groupBy("tag", "c", "gold").agg(F.count("*").alias("n"))
         fixes = counts.where("tag <> gold").select("tag", "c", F.col("gold").alias("to"), F.col("n").alias("fixed"))
@@ -170,8 +176,8 @@ def analyze(tagged: DataFrame) -> DataFrame:
     IN opens a phrase and the first noun closes it; the predicate starts at the first verb outside a phrase;
     a sentence whose first word but adverbs and interjections is VB is a command.
     """
-    upto = SENTENCE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = SENTENCE.rowsBetween(Window.unboundedPreceding, -1)
+    upto = _sentence().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = _sentence().rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("sent")
     kind = tag_class(F.col("tag"))
     out = tagged.withColumn("_stop", F.col("token").rlike(r"^[.!?]+$")).withColumn("_k", kind)

@@ -44,15 +44,16 @@ def _talk(spark, sf) -> DataFrame:
 
 @query(f"WITH {_DOCS} SELECT w[i] || ' ' || w[i + 1] AS gram, count(*)::BIGINT AS n FROM (SELECT w, unnest(range(1, len(w))) AS i FROM d) GROUP BY 1")
 def ngrams_words(spark: SparkSession, sf: str) -> DataFrame:
-    grams = text.ngrams(_words(F.col("text")), 2)
-    return table(spark, sf, "documents").select(F.explode(F.transform(grams, lambda g: F.array_join(g, " "))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    # the words are a column of their own, or every window would split the text again
+    grams = text.ngrams(F.col("w"), 2)
+    return table(spark, sf, "documents").select(_words(F.col("text")).alias("w")).select(F.explode(F.transform(grams, lambda g: F.array_join(g, " "))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query("""WITH p AS (SELECT p_partkey, ['<', '<'] || string_split(p_name, ' ') || ['>', '>'] AS w FROM part)
 SELECT p_partkey, array_to_string(w[i : i + 2], ' ') AS gram FROM (SELECT p_partkey, w, unnest(range(1, len(w) - 1)) AS i FROM p)""")
 def ngrams_padded(spark, sf):
     tokens = text.padded(F.split("p_name", " "), 3, "<", ">")
-    return table(spark, sf, "part").select("p_partkey", F.explode(text.ngrams(tokens, 3)).alias("g")).select("p_partkey", F.array_join("g", " ").alias("gram"))
+    return table(spark, sf, "part").select("p_partkey", tokens.alias("w")).select("p_partkey", F.explode(text.ngrams(F.col("w"), 3)).alias("g")).select("p_partkey", F.array_join("g", " ").alias("gram"))
 
 
 @query("SELECT substr(p_name, i, 3) AS gram, count(*)::BIGINT AS n FROM (SELECT p_name, unnest(range(1, length(p_name) - 1)) AS i FROM part) GROUP BY 1")
