@@ -84,3 +84,16 @@ def removals(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFra
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Windows by digest of their words; a document's words joined anew without those that are covered.
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g),
+hit AS (SELECT r, i FROM win JOIN f USING (g) WHERE doc_id > first),
+cov AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM hit),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN cov USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT r, count(*) AS n FROM cov GROUP BY r) c USING (r) LEFT JOIN kept USING (r)
+"""

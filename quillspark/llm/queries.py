@@ -20,5 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_warc": archives.OP1_SQL,
     "op6_mix": mixing.OP6_SQL,
+    "op8_passages": passages.OP8_SQL,
+    "op9_near_copies": nearcopies.OP9_SQL,
     "op10_decontaminate": contamination.OP10_SQL,
 }

@@ -1,0 +1,96 @@
+import math
+import random
+import re
+from collections import Counter
+
+import brute
+
+from quillspark.llm import secrets
+
+CLASS = r"[A-Za-z0-9+/_.=-]"
+ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+KINDS = ("assign", "access", "hex", "entropy")
+
+
+def base(text):
+    text = text or ""
+    out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
+
+
+def entropy(text):
+    text, found = text or "", []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
+        s = m[0]
+        if not (re.search("[0-9]", s) and re.search("[a-z]", s) and re.search("[A-Z]", s)) or any(re.search(p, s) for p in secrets.ALLOWED):
+            continue
+        bits = secrets.BITS["hex" if re.fullmatch("[0-9A-Fa-f]+", s) else "mixed"]
+        spans = []
+        for i in range(len(s) - secrets.WINDOW + 1):
+            counts = Counter(s[i : i + secrets.WINDOW]).values()
+            if -sum(c / secrets.WINDOW * math.log2(c / secrets.WINDOW) for c in counts) >= bits:
+                a, b = m.start() + i, m.start() + i + secrets.WINDOW
+                if spans and spans[-1][1] >= a:
+                    spans[-1][1] = b
+                else:
+                    spans.append([a, b])
+        found += [("entropy", a, b) for a, b in spans]
+    return [x for x in found if not any(a < x[2] and x[1] < b for _, a, b in base(text))]
+
+
+def texts():
+    rnd = random.Random(7)
+    pick = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    parts = ["password", "Token", "API_KEY", "apikey", "secret", "passwd", "=", ": ", ' = "', "' :", "AKIA", "AKIAAKIA", "日本 ", "😀", " ", "\n", "short", "token: secret: "]
+    out = []
+    for _ in range(150):
+        s = ""
+        for _ in range(rnd.randint(0, 14)):
+            k = rnd.random()
+            s += rnd.choice(parts) if k < 0.6 else pick("0123456789abcdef", rnd.choice([8, 15, 16, 40])) if k < 0.7 else pick("ABCDEFGH0123456789", rnd.randint(10, 22)) if k < 0.8 else " " + pick(mixed, rnd.randint(10, 60)) + " "
+        out.append(s)
+    return out + ["", None, "123e4567-e89b-12d3-a456-426614174000 Abcdefghijklmnop12345", "plain words only " * 400, "x" * 30_000 + " key " + pick(mixed, 40), "Path/to/some/File9/with/Names/And/more", pick("0123456789ABCDEFabcdef", 44)]
+
+
+def test_against_brute_force(spark):
+    docs = list(enumerate(texts()))
+    got = brute.by_id(secrets.find_secrets(brute.frame(spark, docs)))
+    some = 0
+    for i, text in docs:
+        want, extra = base(text), entropy(text)
+        joined = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        r = got[i]
+        assert [r[f"n_{k}"] for k in KINDS[:3]] == [sum(x[0] == k for x in want) for k in KINDS[:3]], text
+        assert r["base_sha256"] == brute.sha(joined(want).encode())
+        assert r["spans"] == joined(sorted(want + extra, key=lambda x: (x[1], KINDS.index(x[0])))), text
+        some += len(extra)
+    assert some > 20
+
+
+def test_redaction(spark):
+    docs = list(enumerate(texts()))
+    frame = brute.frame(spark, docs)
+    out = secrets.redact(frame)
+    assert out.columns == frame.columns
+    got = brute.by_id(out)
+    for i, text in docs:
+        spans = sorted((a, b) for _, a, b in base(text) + entropy(text))
+        if not spans:
+            assert got[i]["text"] == text and got[i]["n_chars"] == len(text or "")
+            continue
+        want, at = "", 0
+        for a, b in spans:
+            if a >= at:
+                want += text[at:a] + "[SECRET]"
+            elif not at:
+                want += "[SECRET]"
+            at = max(at, b)
+        want += text[at:]
+        assert got[i]["text"] == want and got[i]["n_chars"] == len(want)
+
+
+def test_empty_table(spark):
+    assert secrets.find_secrets(brute.frame(spark, [])).collect() == []
