@@ -33,12 +33,15 @@ HEX = r"[0-9a-f]{16,}"
 #: Strings worth a window: 20 or more symbols with a digit, a lower-case and an upper-case letter.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[A-Z0-9+/_=-]*+[a-z])(?=[a-z0-9+/_=-]*+[A-Z])[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
+#: Symbols of a candidate whose windows are scanned together; a longer one is cut into overlapping pieces.
+PIECE = 256
 #: Bits a symbol needs in a window, by class: letters and digits mixed, and upper- or mixed-case hexadecimal.
 BITS = {"mixed": 3.75, "hex": 3.2}
+#: Words or paths with a number; possessive, as a loop over groups would take a stack frame for each.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"^[A-Za-z]+([-_/=+][A-Za-z]+)*[-_/=+]?[0-9]{1,8}$",
-    r"^(/?[A-Za-z0-9_]{1,14}){3,}/?$",
+    r"^[A-Za-z]++(?:[-_/=+][A-Za-z]++)*+[-_/=+]?[0-9]{1,8}$",
+    r"^/?[A-Z]?[a-z]+[0-9]{0,4}(?:/[A-Z]?[a-z]+[0-9]{0,4})++/?$",
     r"(?i)(abcdefgh|01234567|12345678|example|qwerty)",
 )
 
@@ -70,10 +73,8 @@ def _count(chars: Column, start: Column, length: Column, c: Column) -> Column:
     return F.when(length > 0, F.size(F.filter(F.slice(chars, start, length), lambda y: y == c))).otherwise(F.lit(0))
 
 
-def _hot_windows(value: Column, window: int, bits: Column) -> Column:
-    """1-based end positions of the windows of ``value`` at or over ``bits``."""
-    chars = F.split(value, "")
-    places = F.sequence(F.lit(1), F.length(value))
+def _hot_windows(chars: Column, window: int, bits: Column) -> Column:
+    """1-based end positions of the windows of the bound array ``chars`` at or over ``bits``."""
 
     def change(i: Column) -> Column:
         # the window before i holds symbols max(1, i - window + 1) .. i - 1 once the oldest has left
@@ -82,19 +83,33 @@ def _hot_windows(value: Column, window: int, bits: Column) -> Column:
         leaving = F.when(i > window, _count(chars, first, i - first, F.get(chars, i - 1 - window)))
         return _plogp(entering + 1) - _plogp(entering) - F.coalesce(_plogp(leaving + 1) - _plogp(leaving), F.lit(0.0))
 
-    sums = F.aggregate(
-        F.transform(places, change),
-        F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out")),
-        lambda acc, d: F.struct((acc["s"] + d).alias("s"), F.concat(acc["out"], F.array(acc["s"] + d)).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.filter(places, lambda i: (i >= window) & (F.lit(math.log2(window)) - F.get(sums, i - 1) / window >= bits))
+    def slide(acc: Column, x: Column) -> Column:
+        total = acc["s"] + x["d"]
+        hot = (x["i"] >= window) & (F.lit(math.log2(window)) - total / window >= bits)
+        return F.struct(total.alias("s"), F.when(hot, F.concat(acc["out"], F.array(x["i"]))).otherwise(acc["out"]).alias("out"))
+
+    changes = F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.struct(i.alias("i"), change(i).alias("d")))
+    return F.aggregate(changes, F.struct(F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("out")), slide, lambda acc: acc["out"])
+
+
+def _hot_ends(value: Column, window: int, bits: Column) -> Column:
+    """``_hot_windows`` of a whole string, piece by piece: linear in its length.
+
+    Arrays are bound as lambda variables, since an expression in a lambda is evaluated for each element.
+    """
+
+    def of_string(x: Column) -> Column:
+        begins = F.sequence(F.lit(0), F.greatest(F.size(x["chars"]) - window, F.lit(0)), F.lit(PIECE))
+        pieces = F.transform(begins, lambda at: F.struct(at.alias("at"), F.slice(x["chars"], at + 1, F.lit(PIECE + window - 1)).alias("chars")))
+        return F.flatten(F.transform(pieces, lambda p: F.transform(_hot_windows(p["chars"], window, x["bits"]), lambda i: i + p["at"])))
+
+    return F.flatten(F.transform(F.array(F.struct(F.split(value, "").alias("chars"), bits.alias("bits"))), of_string))
 
 
 def _entropy_spans(text: Column, base: Column, window: int) -> Column:
     def spans(x: Column) -> Column:
         hexa = x["value"].rlike("^[0-9A-Fa-f]+$")
-        ends = _hot_windows(x["value"], window, F.when(hexa, F.lit(BITS["hex"])).otherwise(F.lit(BITS["mixed"])))
+        ends = _hot_ends(x["value"], window, F.when(hexa, F.lit(BITS["hex"])).otherwise(F.lit(BITS["mixed"])))
         empty = F.from_json(F.lit("[]"), "array<struct<start:long,end:long>>")
 
         def merge(acc: Column, i: Column) -> Column:

@@ -52,7 +52,7 @@ def texts():
             k = rnd.random()
             s += rnd.choice(parts) if k < 0.6 else pick("0123456789abcdef", rnd.choice([8, 15, 16, 40])) if k < 0.7 else pick("ABCDEFGH0123456789", rnd.randint(10, 22)) if k < 0.8 else " " + pick(mixed, rnd.randint(10, 60)) + " "
         out.append(s)
-    return out + ["", None, "123e4567-e89b-12d3-a456-426614174000 Abcdefghijklmnop12345", "plain words only " * 400, "x" * 30_000 + " key " + pick(mixed, 40), "Path/to/some/File9/with/Names/And/more", pick("0123456789ABCDEFabcdef", 44)]
+    return out + ["", None, "123e4567-e89b-12d3-a456-426614174000 Abcdefghijklmnop12345", "plain words only " * 400, "x" * 30_000 + " key " + pick(mixed, 40), "Path/to/some/File9/with/Names/And/more", "bare gh9Kx2LmQp7Zt4Vb8Nc1RwYdTa5J here", " ".join(pick(mixed, n) for n in (255, 256, 275, 276, 295, 3000)), "A9" + "/a" * 20_000, pick("0123456789ABCDEFabcdef", 44)]
 
 
 def test_against_brute_force(spark):
