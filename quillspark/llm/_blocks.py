@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ._cluster import stage
 from ._words import _BYTE, Words, mixed, powers, inverse_powers, prefix_hash, range_hash, steps, text_buffers, window_starts
 
-#: Rows of a table that may be broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 400_000
+#: Bytes of a table that may be broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 4 << 20
 NODE_BYTES = 12
 
 
@@ -128,9 +128,19 @@ def unpack(rows: DataFrame) -> DataFrame:
     return rows.select("node", "doc_id", "gram", "body", "lo", "hi").mapInArrow(run, "gram long, body long, node binary, doc long, lo int, hi int, inside boolean")
 
 
-def join_checked(large: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join ``small``, a staged table, by broadcast if it has at most ``rows`` rows, else by shuffle."""
-    return large.join(F.broadcast(small) if small.count() <= rows else small, on, how)
+def held_bytes(df: DataFrame) -> int:
+    """Bytes that the rows of a staged table take: each value, and each element of an array of structs."""
+    kinds = {"array": lambda c: 48 * F.size(c), "string": F.octet_length, "binary": F.octet_length}
+    width = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        if f.dataType.typeName() in kinds:
+            width = width + F.coalesce(kinds[f.dataType.typeName()](F.col(f.name)), F.lit(0))
+    return df.agg(F.sum(width.cast("long"))).first()[0] or 0
+
+
+def join_checked(large: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join ``small``, a staged table, by broadcast if it holds at most ``BROADCAST_BYTES``, else by shuffle."""
+    return large.join(F.broadcast(small) if held_bytes(small) <= BROADCAST_BYTES else small, on, how)
 
 
 def node_of(sha) -> F.Column:
@@ -141,7 +151,10 @@ def texts_of(docs: DataFrame, per_node: DataFrame, name: str) -> DataFrame:
     """One row a node of ``per_node`` with its text; ``per_node`` has binary columns a worker reads."""
     told = stage(per_node, name)
     keyed = docs.select(node_of(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))).alias("node"), "text")
-    return join_checked(keyed, told, "node", rows=100_000)
+    if held_bytes(told) <= BROADCAST_BYTES:
+        return keyed.join(F.broadcast(told), "node")
+    # a text's copies are dropped by the tasks that read them, so that they do not meet in one
+    return keyed.dropDuplicates(["node"]).join(told, "node")
 
 
 def window_rows(joined: DataFrame, words: bool, window: int) -> DataFrame:

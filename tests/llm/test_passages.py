@@ -1,6 +1,6 @@
 import brute
 
-from quillspark.llm import passages
+from quillspark.llm import _blocks, passages
 
 
 def expected(docs, window=50):
@@ -27,6 +27,13 @@ def test_against_brute_force(spark):
         assert told(passages.removals(brute.frame(spark, docs))) == expected(docs)
 
 
+def test_against_brute_force_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(_blocks, "BROADCAST_BYTES", -1)
+    docs = brute.corpus(21)
+    docs += [(1000 + k, docs[0][1]) for k in range(40)]
+    assert told(passages.removals(brute.frame(spark, docs))) == expected(docs)
+
+
 def test_short_windows(spark):
     docs = brute.corpus(23)
     assert told(passages.removals(brute.frame(spark, docs), gram=4, window=10)) == expected(docs, 10)

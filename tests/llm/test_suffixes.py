@@ -5,7 +5,7 @@ import brute
 import numpy as np
 import pytest
 
-from quillspark.llm import suffixes
+from quillspark.llm import _blocks, suffixes
 
 
 def expected(docs, length):
@@ -53,6 +53,18 @@ def test_against_brute_force(spark, sort_bytes):
     assert told(suffixes.repeats(brute.frame(spark, docs), 100, 40, sort_bytes)) == expected(docs, 100)
 
 
+def test_against_brute_force_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(_blocks, "BROADCAST_BYTES", -1)
+    docs = brute.corpus(11)
+    docs += [(1000 + k, docs[0][1]) for k in range(40)]
+    assert told(suffixes.repeats(brute.frame(spark, docs), 100, 40)) == expected(docs, 100)
+
+
+def test_held_bytes_counts_what_arrays_hold(spark):
+    few = spark.sql("SELECT 'abc' AS node, transform(sequence(1, 1000), i -> named_struct('lo', i, 'hi', i)) AS spans")
+    assert 48_000 <= _blocks.held_bytes(few) <= 49_000 and _blocks.held_bytes(few.limit(0)) == 0
+
+
 def test_contract_length(spark):
     docs = brute.corpus(12)
     assert told(suffixes.repeats(brute.frame(spark, docs))) == expected(docs, 400)
