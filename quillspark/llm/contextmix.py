@@ -3,8 +3,8 @@
 A text is coded as units: the white space before a word, the word, and a
 terminator; the last unit ends in an end symbol.  The first byte of a unit only
 tells how the word before it ended and is not coded.  Every bit of every symbol is
-predicted by ``ORDERS`` hashed contexts (0 to 4 symbols back, and the unit so
-far), whose counts come from all training texts.  Their stretched probabilities
+predicted by ``ORDERS`` contexts (0 to 4 symbols back, and the unit so far), whose
+exact counts come from all training texts.  Their stretched probabilities
 are mixed with weights gated by bit position and by how much the longest context
 has seen; the mix is refined by an adaptive probability map and squashed.
 Weights and map learn online, in blocks of units, each occurrence predicted as if
@@ -13,8 +13,10 @@ The score is the log10 probability of all bits.
 
 As a unit's bits depend on the unit alone, units are gathered once: every slice of
 documents sends its distinct units to buckets of the word, where counts of words
-and units meet, are scored once, and are sent back.  What is gathered grows
-with the text; tables have a fixed number of slots.
+and units meet, are scored once, and are sent back.  Counts of contexts meet the
+same way: a bucket sends each distinct pair of context and symbol to the share of
+the context, and gets the counts along the symbol's bits back.  All that is
+gathered grows with the text; contexts are told apart by 56-bit fingerprints.
 
 Edge cases: null and empty texts are an end alone; a null id counts as training
 text with the id ""; equal texts are scored alike; an empty table gives an empty
@@ -40,10 +42,10 @@ from ._words import _BYTE, Words, mixed, prefix_hash, range_hash, steps, text_bu
 FOLDS, HELD = 5, 1
 #: Text of one slice; its distinct units travel together.
 SLICE_BYTES = 3 << 19
-#: Hashed slots of one order.
+#: Hashed slots of one order, for ``Bits`` without counted pairs.
 SLOTS = 1 << 20
 ORDERS = 6
-#: Tasks that count and learn are at least so many, and one for every so many buckets; each sends tables of a fixed size.
+#: Tasks that learn are at least so many, and one for every so many buckets.
 TASKS, TASK_BUCKETS = 12, 8
 #: Units mixed between two updates of the weights.
 BLOCK_UNITS = 512
@@ -155,9 +157,12 @@ def _meet(t):
 
 
 class Bits:
-    """Context slots and bits of a block of units: rows are symbols, columns their eight bits."""
+    """Context slots and bits of a block of units: rows are symbols, columns their eight bits.
 
-    def __init__(self, units: list[bytes]):
+    ``pairs`` are sorted pairs of context and symbol, as ``own_pairs`` gives them; a slot is a pair's place and the bit.
+    """
+
+    def __init__(self, units: list[bytes], pairs: np.ndarray | None = None):
         joined = np.frombuffer(b"\xff".join(units) + b"\xff", np.uint8)
         ends = np.flatnonzero(joined == _STOP)
         begin = np.concatenate(([0], ends[:-1] + 1))
@@ -168,24 +173,78 @@ class Bits:
         symbol = joined[at].astype(np.uint64)
         self.unit = unit[at]
         self.n = len(units)
-        depth = at - begin[self.unit]
-        wide = joined.astype(np.uint64)
-        context = np.zeros(len(at), np.uint64)
-        past = range_hash(prefix_hash(_BYTE[joined]), begin[self.unit], at)
-        node = np.ones((len(at), 8), np.uint64)
         shifts = np.arange(7, -1, -1, dtype=np.uint64)
         self.bit = ((symbol[:, None] >> shifts) & np.uint64(1)).astype(np.uint8)
+        bases = _contexts(joined, at, at - begin[self.unit], begin[self.unit])
+        if pairs is not None:
+            places = np.searchsorted(pairs, (bases & ~np.uint64(255)) | symbol)
+            self.slots = places[:, :, None] * 8 + np.arange(8)
+            return
+        node = np.ones((len(at), 8), np.uint64)
         for k in range(1, 8):
             node[:, k] = node[:, k - 1] * np.uint64(2) + self.bit[:, k - 1]
-        self.slots = np.empty((ORDERS, len(at), 8), np.int32)
-        for order in range(ORDERS):
-            if order:
-                reach = np.minimum(depth, order)
-                if order < ORDERS - 1:
-                    context = np.where(reach >= order, context * np.uint64(257) + wide[np.maximum(at - order, 0)] + np.uint64(1), context * np.uint64(257))
-            seed = past if order == ORDERS - 1 else context
-            base = mixed(seed * np.uint64(2) + np.uint64((order * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF))
-            self.slots[order] = (mixed(base[:, None] + node * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(SLOTS - 1)).astype(np.int32)
+        self.slots = (mixed(bases[:, :, None] + node * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(SLOTS - 1)).astype(np.int32)
+
+
+def _contexts(joined: np.ndarray, at: np.ndarray, depth: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hashes (orders, symbols) of the contexts of the symbols ``at``."""
+    wide = joined.astype(np.uint64)
+    context = np.zeros(len(at), np.uint64)
+    past = range_hash(prefix_hash(_BYTE[joined]), begin, at)
+    out = np.empty((ORDERS, len(at)), np.uint64)
+    for order in range(ORDERS):
+        if order:
+            reach = np.minimum(depth, order)
+            if order < ORDERS - 1:
+                context = np.where(reach >= order, context * np.uint64(257) + wide[np.maximum(at - order, 0)] + np.uint64(1), context * np.uint64(257))
+        seed = past if order == ORDERS - 1 else context
+        out[order] = mixed(seed * np.uint64(2) + np.uint64((order * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF))
+    return out
+
+
+def own_pairs(units: list[bytes], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct pairs of context (upper 56 bits) and symbol of the units, and how often each occurs in training."""
+    found, counts = [], []
+    for a in range(0, len(units), 64 * BLOCK_UNITS):
+        joined = np.frombuffer(b"\xff".join(units[a : a + 64 * BLOCK_UNITS]) + b"\xff", np.uint8)
+        ends = np.flatnonzero(joined == _STOP)
+        begin = np.concatenate(([0], ends[:-1] + 1))
+        first = np.zeros(len(joined), bool)
+        first[begin] = True
+        at = np.flatnonzero(~first)
+        unit = np.cumsum(first)[at] - 1
+        bases = _contexts(joined, at, at - begin[unit], begin[unit])
+        pair = ((bases & ~np.uint64(255)) | joined[at].astype(np.uint64)).reshape(-1)
+        x, n = _summed(pair, np.tile(times[a + unit], ORDERS))
+        found.append(x)
+        counts.append(n)
+    return _summed(np.concatenate(found), np.concatenate(counts))
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def _along_bits(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(pairs, 9): how often the context of a pair was followed by a symbol with its first 0 to 8 bits."""
+    out = np.empty((len(pairs), 9), np.int64)
+    for k in range(9):
+        node = pairs >> np.uint64(8 - k)
+        first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        out[:, k] = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(pairs))))
+    return out
+
+
+def _as_tables(along: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Counts of clear and set bits by slot of ``Bits``, the same array for every order."""
+    bit = ((pairs[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(bool)
+    same, other = along[:, 1:], along[:, :-1] - along[:, 1:]
+    both = np.stack([np.where(bit, other, same), np.where(bit, same, other)]).astype(np.float32).reshape(2, -1)
+    return np.broadcast_to(both, (ORDERS, *both.shape))
 
 
 def _stretch(p):
@@ -200,7 +259,7 @@ class Mixer:
     """Gated weights and an adaptive map over the predictions of the counts."""
 
     def __init__(self, tables: np.ndarray, weights: np.ndarray | None = None, refined: np.ndarray | None = None):
-        self.tables = tables  # float32 (ORDERS, 2, SLOTS)
+        self.tables = tables  # float32 (ORDERS, 2, slots)
         self.weights = self.start_weights() if weights is None else weights
         self.refined = self.start_map() if refined is None else refined
 
@@ -256,11 +315,11 @@ class Mixer:
         pace = hits / (hits + 200)
         self.refined += pace * (np.where(hits > 0, ones / np.maximum(hits, 1e-9), 0) - self.refined)
 
-    def score(self, units: list[bytes]) -> np.ndarray:
+    def score(self, units: list[bytes], pairs: np.ndarray | None = None) -> np.ndarray:
         """Natural-log probability of every unit."""
         out = np.zeros(len(units))
         for a in range(0, len(units), 4 * BLOCK_UNITS):
-            b = Bits(units[a : a + 4 * BLOCK_UNITS])
+            b = Bits(units[a : a + 4 * BLOCK_UNITS], pairs)
             x, gate = self.inputs(b)
             _, p, _, _ = self.predict(x, gate)
             cost = np.log(np.where(b.bit.reshape(-1) == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
@@ -272,61 +331,76 @@ def _listed(row_units: bytes, size: int) -> list[bytes]:
     return pa.decompress(row_units, size, codec="zstd", asbytes=True).split(b"\xff")
 
 
-def _count_tables(vocabulary: DataFrame, tasks: int) -> np.ndarray:
-    """Counts of all hashed contexts over the training units; of fixed size at every input."""
+_ASKED = "share int, bucket int, n int, pairs binary, counts binary"
+_COUNTED = "bucket int, share int, n int, along binary"
+_COUNTED_ARROW = pa.schema([("bucket", pa.int32()), ("share", pa.int32()), ("n", pa.int32()), ("along", pa.binary())])
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((ORDERS, 2, SLOTS), np.float32)
-        some = False
+def _count_contexts(vocabulary: DataFrame, shares: int) -> DataFrame:
+    """Per bucket and share of contexts, ascending: counts along the bits of the bucket's sorted pairs."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, size, data, tf in zip(*(batch.column(k).to_pylist() for k in ("n", "size", "units", "tf"))):
-                units, times = _listed(data, size), _unpack(tf, n, np.int64)
-                known = np.flatnonzero(times)
-                some = some or len(known) > 0
-                for a in range(0, len(known), 8 * BLOCK_UNITS):
-                    own = known[a : a + 8 * BLOCK_UNITS]
-                    b = Bits([units[i] for i in own.tolist()])
-                    weight = np.repeat(times[own][b.unit], 8).astype(np.float32)
-                    bit = b.bit.reshape(-1)
-                    for k in range(ORDERS):
-                        slot = b.slots[k].reshape(-1)
-                        for y in (0, 1):
-                            np.add.at(tables[k, y], slot[bit == y], weight[bit == y])
-        if some:
-            flat = tables.reshape(2 * ORDERS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(2 * ORDERS), pa.int32()), pa.array([_pack(x) for x in flat], pa.binary())], names=["part", "data"])
-
-    def add(t):
-        total = np.zeros(SLOTS, np.float64)
-        for data in t.column("data"):
-            total += _unpack(data.as_py(), SLOTS, np.float32)
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int32()), "data": pa.array([_pack(total.astype(np.float32))], pa.binary())})
-
-    parts = vocabulary.repartition(tasks).mapInArrow(count, "part int, data binary")
-    tables = np.zeros((2 * ORDERS, SLOTS), np.float32)
-    for row in parts.groupBy("part").applyInArrow(add, "part int, data binary").toLocalIterator():
-        tables[row["part"]] = _unpack(bytes(row["data"]), SLOTS, np.float32)
-    return tables.reshape(ORDERS, 2, SLOTS)
-
-
-def _fit_mixer(vocabulary: DataFrame, tables, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+            for bucket, n, size, data, tf in zip(*(batch.column(k).to_pylist() for k in ("bucket", "n", "size", "units", "tf"))):
+                pairs, counts = own_pairs(_listed(data, size), _unpack(tf, n, np.int64))
+                share = _share(pairs, shares)
+                cut = np.searchsorted(share, np.arange(shares + 1)).tolist()
+                own = [i for i in range(shares) if cut[i + 1] > cut[i]]
+                packed = lambda x: pa.array([_pack(x[cut[i] : cut[i + 1]]) for i in own], pa.binary())
+                sizes = pa.array([cut[i + 1] - cut[i] for i in own], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([bucket] * len(own), pa.int32()), sizes, packed(pairs), packed(counts)], names=["share", "bucket", "n", "pairs", "counts"])
+
+    def answer(t):
+        asked = [(b, _unpack(p, n, np.uint64), _unpack(c, n, np.int64)) for b, n, p, c in zip(*(t.column(k).to_pylist() for k in ("bucket", "n", "pairs", "counts")))]
+        pairs, counts = _summed(np.concatenate([p for _, p, _ in asked]), np.concatenate([c for _, _, c in asked]))
+        along, share = _along_bits(pairs, counts), t.column("share")[0].as_py()
+        return pa.Table.from_pylist([{"bucket": b, "share": share, "n": len(p), "along": _pack(along[np.searchsorted(pairs, p)].reshape(-1))} for b, p, _ in asked], schema=_COUNTED_ARROW)
+
+    return stage(vocabulary.select("bucket", "n", "size", "units", "tf").mapInArrow(ask, _ASKED).groupBy("share").applyInArrow(answer, _COUNTED), "mix-contexts")
+
+
+def _share(pairs: np.ndarray, shares: int) -> np.ndarray:
+    """Share of each pair: ascending with the pair, all symbols of a context in one."""
+    return ((pairs >> np.uint64(40)) * np.uint64(shares)) >> np.uint64(24)
+
+
+def _counted(rows: list[dict], units: list[bytes], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket and their tables, from the rows that ``_count_contexts`` gave it."""
+    pairs, _ = own_pairs(units, times)
+    along = np.concatenate([_unpack(r["along"], 9 * r["n"], np.int64).reshape(-1, 9) for r in sorted(rows, key=lambda r: r["share"])])
+    return pairs, _as_tables(along, pairs)
+
+
+def _beside(frame: DataFrame, counted: DataFrame) -> DataFrame:
+    """Rows of ``met`` and of counts of contexts in one table, to be grouped by bucket."""
+    left = frame.select("*", F.lit(None).cast("int").alias("share"), F.lit(None).cast("binary").alias("along"))
+    return left.unionByName(counted, allowMissingColumns=True)
+
+
+def _fit_mixer(vocabulary: DataFrame, counted: DataFrame, tasks: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and map: learned online by each task over all its training units, averaged by their number."""
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, seen = Mixer(tables.value), 0
-        for batch in batches:
-            for n, size, data, tf in zip(*(batch.column(k).to_pylist() for k in ("n", "size", "units", "tf"))):
-                units, times = _listed(data, size), _unpack(tf, n, np.int64)
-                known = np.flatnonzero(times)
-                for a in range(0, len(known), BLOCK_UNITS):
-                    own = known[a : a + BLOCK_UNITS]
-                    mixer.learn(Bits([units[i] for i in own.tolist()]), times[own].astype(float), RATE)
-                seen += len(known)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([[*mixer.weights.ravel().tolist(), *mixer.refined.ravel().tolist()]])], names=["seen", "learned"])
+    def learn(t):
+        mixer, seen = Mixer(np.zeros((ORDERS, 2, 0), np.float32)), 0
+        by_bucket: dict[int, list[dict]] = {}
+        for row in t.to_pylist():
+            by_bucket.setdefault(row["bucket"], []).append(row)
+        for _, rows in sorted(by_bucket.items()):
+            own = next(r for r in rows if r["share"] is None)
+            units, times = _listed(own["units"], own["size"]), _unpack(own["tf"], own["n"], np.int64)
+            known = np.flatnonzero(times)
+            if len(known):
+                pairs, mixer.tables = _counted([r for r in rows if r["share"] is not None], units, times)
+            for a in range(0, len(known), BLOCK_UNITS):
+                some = known[a : a + BLOCK_UNITS]
+                mixer.learn(Bits([units[i] for i in some.tolist()], pairs), times[some].astype(float), RATE)
+            seen += len(known)
+        learned = [[*mixer.weights.ravel().tolist(), *mixer.refined.ravel().tolist()]] if seen else []
+        return pa.table({"seen": pa.array([seen][: len(learned)], pa.int64()), "learned": pa.array(learned, pa.list_(pa.float64()))})
 
     # averaged by evidence where they are; the driver gets the mean, in whole units of 1e-9 so that any order of rows gives the same sum
-    learned = vocabulary.repartition(tasks, "bucket").mapInArrow(learn, "seen long, learned array<double>").select("seen", F.posexplode("learned").alias("at", "x"))
+    both = _beside(vocabulary.select("bucket", "n", "size", "units", "tf"), counted)
+    learned = both.groupBy((F.col("bucket") % tasks).alias("task")).applyInArrow(learn, "seen long, learned array<double>").select("seen", F.posexplode("learned").alias("at", "x"))
     share = F.round(F.col("x") * 1e9).cast("decimal(28,0)") * F.col("seen").cast("decimal(10,0)")
     mean = np.concatenate([Mixer.start_weights().ravel(), Mixer.start_map().ravel()])
     for row in learned.groupBy("at").agg((F.sum(share).cast("double") / F.sum("seen") / 1e9).alias("mean")).collect():
@@ -348,13 +422,17 @@ def score_texts(docs: DataFrame) -> DataFrame:
     vocabulary = met.where("slice is null")
     words, total = (int(x or 0) for x in vocabulary.agg(F.sum("words"), F.sum("total")).first())
     tasks = max(TASKS, buckets // TASK_BUCKETS)
-    tables = spark.sparkContext.broadcast(_count_tables(vocabulary, tasks))
-    weights, refined = _fit_mixer(vocabulary, tables, tasks)
+    counted = _count_contexts(vocabulary, buckets)
+    weights, refined = _fit_mixer(vocabulary, counted, tasks)
 
     def reply(t):
+        counts = pc.is_valid(t.column("share"))
+        told = t.filter(counts).select(["share", "n", "along"]).to_pylist()
+        t = t.filter(pc.invert(counts))
         own = t.filter(pc.is_null(t.column("slice"))).to_pylist()[0]
-        c = _unpack(own["c"], own["n"], np.int64)
-        logp = Mixer(tables.value, weights, refined).score(_listed(own["units"], own["size"])).astype(np.float64)
+        c, units = _unpack(own["c"], own["n"], np.int64), _listed(own["units"], own["size"])
+        pairs, tables = _counted(told, units, _unpack(own["tf"], own["n"], np.int64))
+        logp = Mixer(tables, weights, refined).score(units, pairs).astype(np.float64)
         rows = []
         for name, n, places in zip(*(t.column(k).to_pylist() for k in ("slice", "n", "places"))):
             if name is not None:
@@ -362,7 +440,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
                 rows.append({"slice": name, "bucket": own["bucket"], "c": _pack(c[at]), "logp": logp[at].astype(np.float32).tobytes(), "n": n})
         return pa.Table.from_pylist(rows, schema=pa.schema([("slice", pa.string()), ("bucket", pa.int32()), ("c", pa.binary()), ("logp", pa.binary()), ("n", pa.int32())]))
 
-    replies = met.groupBy("bucket").applyInArrow(reply, _REPLY)
+    replies = _beside(met, counted).groupBy("bucket").applyInArrow(reply, _REPLY)
     told = slices.where("bucket = -1").select("slice", "bucket", "n", "size", "places", "docs", "held", "tokens", "missing")
     empty = lambda k: F.lit(None).cast("binary").alias(k)
     both = told.select("*", empty("c"), empty("logp")).unionByName(replies.select("slice", "bucket", "n", F.lit(None).cast("long").alias("size"), *(empty(k) for k in ("places", "docs", "held", "tokens", "missing")), "c", "logp"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pytest
 
 from quillspark.llm import contextmix
 
@@ -52,3 +53,36 @@ def test_empty_tables_and_null_ids(spark):
     assert contextmix.score_texts(brute.frame(spark, [])).collect() == []
     rows = contextmix.score_texts(spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["train_tokens"]) for r in rows) == [(None, False, 1, 4), (None, False, 3, 4)]
+
+
+def test_counts_of_contexts_are_exact():
+    """Along the bits of every pair, as counted one by one over all units; no two contexts share a slot."""
+    rnd = np.random.default_rng(5)
+    units = sorted({b"\x01 " + bytes(rnd.choice(list(b"abcd"), rnd.integers(1, 7)).astype(np.uint8)) for _ in range(400)})
+    times = rnd.integers(0, 4, len(units))
+    pairs, counts = contextmix.own_pairs(units, times)
+    tables = contextmix._as_tables(contextmix._along_bits(pairs, counts), pairs)
+    bits = contextmix.Bits(units, pairs)
+    seen = [Counter() for _ in range(contextmix.ORDERS)]
+    nodes = []
+    for u, unit in enumerate(x + b"\xff" for x in units):
+        for i in range(1, len(unit)):
+            for k in range(contextmix.ORDERS):
+                context = unit[:i] if k == contextmix.ORDERS - 1 else unit[max(i - k, 0) : i]
+                for b in range(8):
+                    node = (context, b, unit[i] >> (8 - b))
+                    nodes.append((k, node))
+                    seen[k][node, unit[i] >> (7 - b) & 1] += int(times[u])
+    slots = bits.slots.transpose(1, 0, 2).reshape(-1)
+    assert len(slots) == len(nodes)
+    for slot, (k, node) in zip(slots.tolist(), nodes):
+        assert [tables[k, y][slot] for y in (0, 1)] == [seen[k][node, y] for y in (0, 1)]
+
+
+@pytest.mark.parametrize("size, most", [("sf0.001", 2.642), ("sf0.01", 2.47)])
+def test_held_out_bits_per_byte_at_two_sizes(spark, size, most):
+    """With tables of a fixed size these were 2.647 and 2.490."""
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    rows = contextmix.score_texts(docs).where("held_out").collect()
+    sizes = {r["doc_id"]: len((r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()}
+    assert -sum(r["score"] for r in rows) / math.log10(2) / sum(sizes[r["doc_id"]] for r in rows) < most
