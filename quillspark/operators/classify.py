@@ -78,21 +78,22 @@ class Logistic:
 
         def descend(key, pdf):
             m = len(pdf)
-            x = np.zeros((m, width + 1))
-            x[:, 0] = 1
-            for i, slots in enumerate(pdf["slots"]):
-                x[i, np.asarray(slots, int) + 1] = 1
+            # a row's ones, by row and column; column 0 is the intercept
+            row = np.repeat(np.arange(m), pdf["slots"].map(len))
+            column = np.concatenate([np.asarray(slots, int) for slots in pdf["slots"]]) + 1
             y = (pdf["label"] == key[0]).to_numpy(float)
             theta, rate, last = np.zeros(width + 1), 3.0, math.inf
             for _ in range(rounds):
-                p = 1 / (1 + np.exp(-np.clip(x @ theta, -500, 500)))
+                p = 1 / (1 + np.exp(-np.clip(theta[0] + np.bincount(row, theta[column], m), -500, 500)))
                 cost = -np.mean(y * np.log(np.maximum(p, 1e-300)) + (1 - y) * np.log(np.maximum(1 - p, 1e-300)))
                 if cost > last:
                     rate /= 3
                 elif last - cost < 1e-4:
                     break
                 last = cost
-                theta = theta - rate / m * (x.T @ (p - y))
+                slope = np.bincount(column, (p - y)[row], width + 1)
+                slope[0] = np.sum(p - y)
+                theta = theta - rate / m * slope
             import pandas as pd
 
             return pd.DataFrame({"label": key[0], "slot": np.arange(width), "weight": theta[1:]})

@@ -390,14 +390,14 @@ def bayes_classify(spark, sf):
 
 @query()
 def logistic_classify(spark, sf):
-    talk = _talk(spark, sf).withColumn("tokens", F.slice("tokens", 1, 20))
+    talk = _talk(spark, sf)
     return classify.Logistic.fit(talk).classify(talk)
 
 
 @query()
 def maxent_distribution(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("event"), F.col("o_orderstatus").alias("outcome"), F.array(F.col("o_orderpriority"), F.year("o_orderdate").cast("string")).alias("predicates"))
-    return classify.MaxEnt.fit(rows, rounds=5).distribution(rows.select(F.xxhash64("predicates").alias("event"), "predicates").distinct())
+    return classify.MaxEnt.fit(rows).distribution(rows.select(F.xxhash64("predicates").alias("event"), "predicates").distinct())
 
 
 # --- tagging and clauses: a tag made from each word stands in for a tagged corpus

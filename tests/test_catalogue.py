@@ -39,3 +39,16 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["query", "doc", "score"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_classifiers_fit_whole_turns_to_the_default_end(spark, monkeypatch):
+    fitted, rounds = [], []
+    logistic, maxent = catalogue.classify.Logistic.fit, catalogue.classify.MaxEnt.fit
+    monkeypatch.setattr(catalogue.classify.Logistic, "fit", lambda x, *a, **k: fitted.append(x) or logistic(x, *a, **k))
+    catalogue.logistic_classify(spark, FOLDER)
+    whole = catalogue._talk(spark, FOLDER)
+    assert fitted[0].selectExpr("sum(size(tokens))").first() == whole.selectExpr("sum(size(tokens))").first()
+    assert whole.where("size(tokens) > 20").limit(1).count()
+    monkeypatch.setattr(catalogue.classify.MaxEnt, "fit", lambda x, *a, **k: rounds.append((a, k)) or maxent(x.limit(0), *a, **k))
+    catalogue.maxent_distribution(spark, FOLDER)
+    assert rounds == [((), {})]
