@@ -2,8 +2,14 @@
 
 Equal windows have the same smallest gram, so all places of a window lie in
 blocks with one ``gram``.  Blocks with equal content are settled as a whole;
-only blocks that share a gram but differ in content need their windows looked
-at one by one.
+blocks that share a gram but differ in content are compared on their bytes, in
+shares of one key each.  A key with more content than a share holds is split by
+longer common content: the windows of a block are divided by the place of their
+smallest gram, and each division is keyed by all that its windows have in
+common.  The last division is a window by itself, so every key fits in the end.
+
+Contents are told apart by 64 bits of BLAKE2b beside the key; what a share
+compares are bytes.
 """
 
 from __future__ import annotations
@@ -17,26 +23,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._cluster import stage
-from ._words import _BYTE, Words, mixed, powers, inverse_powers, prefix_hash, range_hash, steps, text_buffers, window_starts
+from ._words import _BYTE, Words, mixed, inverse_powers, prefix_hash, steps, text_buffers, window_starts
 
-#: Bytes of a table that may be broadcast; a larger one is joined by shuffle.
-BROADCAST_BYTES = 4 << 20
 NODE_BYTES = 12
+#: A filter is so many rows of eight 64-bit words: its size, and so what is broadcast, is fixed.
+FILTER_ROWS, FILTER_WORDS = 1 << 17, 8
+#: Parts into which the offsets of a key's windows are divided at each split.
+DIVISIONS = 8
 
 
 class Symbols:
     """A slice's documents as symbols: bytes, or the hashes of its words."""
 
     def __init__(self, column: pa.Array, words: bool):
-        self.words = Words(column, fold=False) if words else None
+        self.words = words
         if words:
-            self.raw, self.off = self.words.raw, self.words.off
-            self.first, hashes = self.words.first, self.words.hashes()
+            w = Words(column, fold=False)
+            self.first, hashes = w.first, w.hashes()
+            self.place = np.concatenate(([0], np.cumsum(w.end - w.start + 1)))
+            whole = w.raw.tobytes()
+            self.data = b" ".join(b"\n".join(whole[a:b] for a, b in zip(w.off[:-1].tolist(), w.off[1:].tolist())).split())
         else:
-            self.raw, self.off = text_buffers(column)
-            self.first, hashes = self.off, _BYTE[self.raw]
+            raw, self.first = text_buffers(column)
+            hashes, self.place, self.data = _BYTE[raw], None, raw.tobytes()
         self.prefix = prefix_hash(hashes)
 
+    def content(self, lo: int, hi: int) -> bytes:
+        """Symbols lo..hi - 1 of the slice; words are joined by one blank."""
+        return self.data[self.place[lo] : self.place[hi] - 1] if self.words else self.data[lo:hi]
+
+
+def digest(content: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
+
 
 def _all_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` symbols from every place; those that cross documents are not used."""
@@ -47,13 +66,13 @@ def _all_hashes(prefix: np.ndarray, size: int) -> np.ndarray:
 
 
 def find_blocks(s: Symbols, gram: int, window: int):
-    """(document, lo, hi, gram hash, content hash, inside): windows lo..hi in places of the slice.
+    """(document, lo, hi, gram hash, inside): windows lo..hi in places of the slice.
 
     ``inside`` tells that the smallest gram stands in the block twice, so that windows of the block may be equal.
     """
     starts = window_starts(s.first, window)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
     grams = _all_hashes(s.prefix, gram)
     least, size, span = grams, 1, window - gram + 1
     while size * 2 <= span:
@@ -74,7 +93,7 @@ def find_blocks(s: Symbols, gram: int, window: int):
             begin = np.cumsum(sizes) - sizes
             places = np.arange(int(sizes.sum())) + np.repeat(l - begin, sizes)
             inside[a : a + 8192] = np.add.reduceat((grams[places] == np.repeat(least[a : a + 8192], sizes)).astype(np.int64), begin) > 1
-    return doc[at], lo, hi, least, range_hash(s.prefix, lo, hi + window), inside
+    return doc[at], lo, hi, least, inside
 
 
 _PACKED = "sha binary, n long, kept_sha string, gram binary, body binary, lo binary, hi binary"
@@ -86,16 +105,15 @@ def scan(docs: DataFrame, words: bool, gram: int, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
             s = Symbols(part.column("text"), words)
-            doc, lo, hi, g, h, inside = find_blocks(s, gram, window)
+            doc, lo, hi, g, inside = find_blocks(s, gram, window)
             at = np.searchsorted(doc, np.arange(part.num_rows + 1))
+            h = np.fromiter((digest(s.content(a, b)) for a, b in zip(lo.tolist(), (hi + window).tolist())), np.int64, len(lo))
             lo, hi = (lo - s.first[doc]).astype(np.uint32), (hi - s.first[doc]).astype(np.uint32) | (inside.astype(np.uint32) << 31)
-            raw = s.raw.tobytes()
             rows = [[] for _ in range(6)]
-            for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-                text = raw[s.off[i] : s.off[i + 1]]
-                sha = hashlib.sha256(text)
+            for i, (a, b, text) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), part.column("text").to_pylist())):
+                sha = hashlib.sha256((text or "").encode())
                 rows[0].append(sha.digest())
-                rows[1].append(hashlib.sha256(b" ".join(text.split())).hexdigest() if words else sha.hexdigest())
+                rows[1].append(hashlib.sha256(s.content(*s.first[i : i + 2]) if s.first[i] < s.first[i + 1] else b"").hexdigest() if words else sha.hexdigest())
                 for k, x in enumerate((g, h, lo, hi)):
                     rows[2 + k].append(x[a:b].tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -106,8 +124,11 @@ def scan(docs: DataFrame, words: bool, gram: int, window: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + _PACKED)
 
 
+_BLOCK = "gram long, key long, body long, node binary, doc long, lo int, hi int, inside boolean"
+
+
 def unpack(rows: DataFrame) -> DataFrame:
-    """A row per block: gram, body, node, doc, lo, hi, inside."""
+    """A row per block: gram, key (the gram), body, node, doc, lo, hi, inside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,28 +140,42 @@ def unpack(rows: DataFrame) -> DataFrame:
                     continue
                 whole = lambda name, kind: np.frombuffer(b"".join(part.column(name).to_pylist()), kind)
                 take = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-                hi = whole("hi", np.uint32)
+                hi, gram = whole("hi", np.uint32), pa.array(whole("gram", np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole("gram", np.int64)), pa.array(whole("body", np.int64)), part.column("node").take(take), part.column("doc_id").take(take), pa.array(np.concatenate(lo).astype(np.int32)), pa.array((hi & 0x7FFFFFFF).astype(np.int32)), pa.array(hi >> 31 == 1)],
-                    names=["gram", "body", "node", "doc", "lo", "hi", "inside"],
+                    [gram, gram, pa.array(whole("body", np.int64)), part.column("node").take(take), part.column("doc_id").take(take), pa.array(np.concatenate(lo).astype(np.int32)), pa.array((hi & 0x7FFFFFFF).astype(np.int32)), pa.array(hi >> 31 == 1)],
+                    names=["gram", "key", "body", "node", "doc", "lo", "hi", "inside"],
                 )
 
-    return rows.select("node", "doc_id", "gram", "body", "lo", "hi").mapInArrow(run, "gram long, body long, node binary, doc long, lo int, hi int, inside boolean")
+    return rows.select("node", "doc_id", "gram", "body", "lo", "hi").mapInArrow(run, _BLOCK)
+
+
+def _spot(column: str) -> tuple[str, str, str]:
+    """SQL of the row, the word and the bit of a value in a filter."""
+    h = f"xxhash64(`{column}`)"
+    return f"{h} & {FILTER_ROWS - 1}L", f"cast(shiftright({h}, 17) & {FILTER_WORDS - 1}L as int)", f"cast(shiftright({h}, 20) & 63L as int)"
+
+
+def bits_of(keys: DataFrame, column: str) -> DataFrame:
+    """A one-hash Bloom filter of ``column``: at most ``FILTER_ROWS`` rows, 9 MB, whatever the number of keys."""
+    row, word, bit = _spot(column)
+    spots = keys.selectExpr(f"{row} as _row", f"{word} as _word", f"shiftleft(1L, {bit}) as _set")
+    return stage(spots.groupBy("_row").agg(*(F.bit_or(F.expr(f"if(_word = {k}, _set, 0L)")).alias(f"_w{k}") for k in range(FILTER_WORDS))), "filter")
 
 
-def held_bytes(df: DataFrame) -> int:
-    """Bytes that the rows of a staged table take: each value, and each element of an array of structs."""
-    kinds = {"array": lambda c: 48 * F.size(c), "string": F.octet_length, "binary": F.octet_length}
-    width = F.lit(16 * len(df.columns))
-    for f in df.schema.fields:
-        if f.dataType.typeName() in kinds:
-            width = width + F.coalesce(kinds[f.dataType.typeName()](F.col(f.name)), F.lit(0))
-    return df.agg(F.sum(width.cast("long"))).first()[0] or 0
+def perhaps(rows: DataFrame, column: str, bits: DataFrame, told: str = "_maybe") -> DataFrame:
+    """``rows`` with a column ``told``: false where ``column`` is surely none of the filter's keys."""
+    row, word, bit = _spot(column)
+    own = "_f"
+    while any(c.lower().startswith(own) for c in rows.columns):
+        own += "_"
+    held = f"element_at(array({', '.join(f'{own}w{k}' for k in range(FILTER_WORDS))}), {word} + 1)"
+    joined = rows.withColumn(f"{own}row", F.expr(row)).join(F.broadcast(bits.select(*(F.col(c).alias(own + c[1:]) for c in bits.columns))), f"{own}row", "left")
+    return joined.select(*(F.col(f"`{c}`") for c in rows.columns), F.expr(f"coalesce(shiftright({held}, {bit}) & 1L = 1L, false)").alias(told))
 
 
-def join_checked(large: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join ``small``, a staged table, by broadcast if it holds at most ``BROADCAST_BYTES``, else by shuffle."""
-    return large.join(F.broadcast(small) if held_bytes(small) <= BROADCAST_BYTES else small, on, how)
+def within(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` joined with the rows of ``keys``; only rows that the filter lets through are shuffled."""
+    return perhaps(rows, column, bits_of(keys, column)).where("_maybe").drop("_maybe").join(keys.hint("merge"), column)
 
 
 def node_of(sha) -> F.Column:
@@ -151,33 +186,103 @@ def texts_of(docs: DataFrame, per_node: DataFrame, name: str) -> DataFrame:
     """One row a node of ``per_node`` with its text; ``per_node`` has binary columns a worker reads."""
     told = stage(per_node, name)
     keyed = docs.select(node_of(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))).alias("node"), "text")
-    if held_bytes(told) <= BROADCAST_BYTES:
-        return keyed.join(F.broadcast(told), "node")
+    asked = perhaps(keyed, "node", bits_of(told, "node")).where("_maybe").drop("_maybe")
     # a text's copies are dropped by the tasks that read them, so that they do not meet in one
-    return keyed.dropDuplicates(["node"]).join(told, "node")
+    return asked.dropDuplicates(["node"]).join(told.hint("merge"), "node")
 
 
-def window_rows(joined: DataFrame, words: bool, window: int) -> DataFrame:
-    """(gram, win, node, doc, at) for all windows of the blocks listed in ``blocks`` of each row (node, doc, text, blocks)."""
+def contents(joined: DataFrame, words: bool, window: int) -> DataFrame:
+    """(key, node, doc, at, data) for the blocks listed in ``blocks`` of each row (node, text, blocks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
             s = Symbols(part.column("text"), words)
-            picks, grams, docs = [], [], []
-            for i, blocks in enumerate(part.column("blocks").to_pylist()):
+            rows = [[] for _ in range(5)]
+            for first, node, blocks in zip(s.first.tolist(), part.column("node").to_pylist(), part.column("blocks").to_pylist()):
                 for b in blocks:
-                    picks.append(np.arange(b["lo"], b["hi"] + 1) + s.first[i])
-                    grams.append(b["gram"])
-                    docs.append(i)
-            sizes = np.array([len(x) for x in picks])
-            at = np.concatenate(picks)
-            take = np.repeat(np.array(docs), sizes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(grams, np.int64), sizes)), pa.array(range_hash(s.prefix, at, at + window).view(np.int64)), part.column("node").take(pa.array(take)), part.column("doc").take(pa.array(take)), pa.array((at - s.first[take]).astype(np.int32))],
-                names=["gram", "win", "node", "doc", "at"],
-            )
+                    for out, x in zip(rows, (b["key"], node, b["doc"], b["lo"], s.content(first + b["lo"], first + b["hi"] + window))):
+                        out.append(x)
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=["key", "node", "doc", "at", "data"])
+
+    return joined.mapInArrow(run, "key long, node binary, doc long, at int, data binary")
+
+
+def widths(gram: int, window: int) -> list[int]:
+    """Offsets of the smallest gram that a division holds, split by split, down to one."""
+    out, width = [], window - gram + 1
+    while width > 1:
+        width = -(-width // DIVISIONS)
+        out.append(width)
+    return out
+
+
+def divided(joined: DataFrame, words: bool, gram: int, window: int, width: int) -> DataFrame:
+    """Blocks of the rows (node, text, blocks), divided: windows with one place of the smallest gram, give or take ``width``."""
+    span = window - gram + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in steps(batches):
+            s = Symbols(part.column("text"), words)
+            grams = _all_hashes(s.prefix, gram).view(np.int64)
+            rows = [[] for _ in range(8)]
+            for first, node, blocks in zip(s.first.tolist(), part.column("node").to_pylist(), part.column("blocks").to_pylist()):
+                for b in blocks:
+                    start = np.arange(b["lo"], b["hi"] + 1) + first
+                    places = np.flatnonzero(grams[start[0] : start[-1] + span] == b["gram"]) + start[0]
+                    anchor = places[np.searchsorted(places, start)]  # the first in the window
+                    cell = (anchor - start) // width
+                    cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(cell) != 0))
+                    for i, j in zip([0, *(cut + 1).tolist()], [*cut.tolist(), len(start) - 1]):
+                        a, c = int(anchor[i]), int(cell[i])
+                        common = s.content(a - c * width, a - min((c + 1) * width - 1, span - 1) + window)
+                        key, body = digest(b"%d:%d:" % (width, c) + common), digest(s.content(int(start[i]), int(start[j]) + window))
+                        for out, x in zip(rows, (b["gram"], key, body, node, b["doc"], int(start[i]) - first, int(start[j]) - first, False)):
+                            out.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], names=["gram", "key", "body", "node", "doc", "lo", "hi", "inside"])
+
+    return joined.mapInArrow(run, _BLOCK)
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """(node, blocks): what is to be read of each text."""
+    return rows.groupBy("node").agg(F.collect_list(F.struct("gram", "key", "doc", "lo", "hi")).alias("blocks"))
+
+
+def runs(places: np.ndarray) -> list[tuple[int, int]]:
+    """First and last of each run of consecutive places."""
+    cut = np.flatnonzero(np.diff(places) > 1)
+    return list(zip(places[np.concatenate(([0], cut + 1))].tolist(), places[np.append(cut, len(places) - 1)].tolist())) if len(places) else []
 
-    return joined.mapInArrow(run, "gram long, win long, node binary, doc long, at int")
+
+def in_shares(rows: DataFrame, compare, least: int) -> DataFrame:
+    """(node, doc, lo, hi) that ``compare`` flags in the contents of whole keys, at least ``least`` bytes at a time.
+
+    ``compare`` takes a list of (key, node, doc, data) and returns an array of flagged places for each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
+
+        def settle() -> pa.RecordBatch:
+            flagged = compare([(key, node, doc, data) for key, node, doc, _, data in held])
+            out = [(node, doc, at + a, at + b) for (_, node, doc, at, _), places in zip(held, flagged) for a, b in runs(places)]
+            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=["node", "doc", "lo", "hi"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in ("key", "node", "doc", "at", "data"))):
+                if row[0] != last and size >= least:
+                    yield settle()
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[-1])
+                last = row[0]
+        if held:
+            yield settle()
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "node binary, doc long, lo int, hi int")
 
 
 def covered(lo: np.ndarray, hi: np.ndarray, window: int, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,12 +2,14 @@
 
 Seeds are winnowed anchors: the smallest 20-word gram of every 50-word window.
 Documents meet on anchors they share.  A seed is extended both ways over all
-windows it is the anchor of; occurrences whose extensions are equal are settled
-at once against the smallest document id, and those that differ are extended
-window by window.  What is marked in a document is a union of maximal repeats of
-``WINDOW`` words or more.
+windows it is the anchor of.  Occurrences whose whole extensions are equal are
+settled at once against the smallest document id.  The others are dealt out by
+anchor, and each is extended word by word, to the left and to the right, against
+the documents before it; what agrees over ``WINDOW`` words or more is marked, so
+the marks of a document are its maximal repeats.  An anchor with more than
+``SHARE_WORDS`` of extensions is first divided by longer common words on both
+sides, as ``_blocks`` tells, until it fits.
 
-Windows are compared by an anchor's and a window's 64-bit fingerprints together.
 Texts that are equal are one class with its smallest id.
 
 Edge cases: null and wordless texts have no word; texts under 50 words have no
@@ -26,32 +28,58 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import covered, join_checked, node_of, scan, texts_of, unpack, window_rows
+from ._blocks import bits_of, contents, covered, divided, in_shares, listed, node_of, perhaps, scan, texts_of, unpack, widths, within
 from ._cluster import prepare, stage, table
 from ._words import steps
 
 GRAM, WINDOW = 20, 50
+#: Words of extensions that one anchor may bring to a task; anchors are extended together from so many bytes on.
+SHARE_WORDS, LEAST_BYTES = 150_000, 1 << 20
 
 
-def removals(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def extended(held: list[tuple[int, bytes, int, bytes]], window: int) -> list[np.ndarray]:
+    """For each (key, node, doc, words): the places whose window stands in the same key in a document with a smaller id."""
+    out, seen, number = [np.zeros(0, np.int64)] * len(held), {}, {}
+    for i in sorted(range(len(held)), key=lambda i: (held[i][0], held[i][2])):
+        key, _, doc, words = held[i]
+        told = np.array([number.setdefault(w, len(number)) for w in words.split(b" ")], np.int32).tobytes()
+        # words are compared, not hashes: a window is the numbers of its words
+        least = [seen.setdefault((key, told[4 * k : 4 * (k + window)]), doc) for k in range(len(told) // 4 - window + 1)]
+        out[i] = np.flatnonzero(np.array(least, np.int64) < doc)
+    return out
+
+
+def removals(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, share: int = SHARE_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of ``docs`` (doc_id, text)."""
     prepare(docs.sparkSession)
-    base = stage(scan(docs, True, gram, window).withColumn("node", node_of(F.col("sha"))), "passage-scan")
+    base = stage(scan(docs, True, gram, window).withColumn("node", node_of(F.col("sha"))).drop("sha"), "passage-scan")
     classes = stage(base.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).where("_n > 1").select("node", "rep"), "passage-classes")
-    placed = join_checked(base, classes, "node", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    blocks = unpack(placed.where("doc_id = rep"))
-    shared = stage(blocks.groupBy("gram").agg(F.min("doc").alias("least"), F.max("doc").alias("_most")).where("least < _most").select("gram", "least"), "passage-anchors")
-    met = stage(blocks.join(shared, "gram"), "passage-seeds")
-    firsts = stage(met.groupBy("gram", "body").agg(F.min("doc").alias("first")), "passage-bodies")
-    open_grams = firsts.groupBy("gram").agg(F.count("*").alias("_n")).where("_n > 1").select("gram")
-    settled = met.join(firsts, ["gram", "body"])
-    whole = settled.where("doc > first").select("node", "doc", "lo", "hi")
-    # one place of every extension that differs from another of its anchor
-    todo = settled.where("doc = first").join(open_grams, "gram", "left_semi").groupBy("node", "doc").agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("blocks"))
-    windows = stage(window_rows(texts_of(docs, todo, "passage-open"), True, window).distinct(), "passage-windows")
-    again = windows.groupBy("gram", "win").agg(F.min("doc").alias("least"), F.max("doc").alias("_most")).where("least < _most").select("gram", "win", "least")
-    single = windows.join(again, ["gram", "win"]).where("doc > least").select("node", "doc", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    spans = whole.unionByName(single).groupBy("node", "doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    # a class has the place of its smallest id
+    told = perhaps(base, "node", bits_of(classes, "node"))
+    placed = told.where("_maybe").join(classes, "node", "left").where("rep is null or doc_id = rep").select(*base.columns)
+    blocks = unpack(told.where("not _maybe").select(*base.columns).unionByName(placed).where("doc_id is not null"))
+    shared = stage(blocks.groupBy("gram").agg(F.min("doc").alias("_least"), F.max("doc").alias("_most")).where("_least < _most").select("gram"), "passage-anchors")
+    met = stage(within(blocks, shared, "gram"), "passage-seeds")
+    marked = []
+    for width in [*widths(gram, window), None]:
+        bodies = stage(met.groupBy("key", "body").agg(F.min("doc").alias("first"), F.max(F.col("hi") - F.col("lo")).alias("_span")), "passage-bodies")
+        keys = bodies.groupBy("key").agg(F.count("*").alias("_n"), F.sum(F.col("_span") + window).alias("words")).where("_n > 1").select("key", "words")
+        settled = met.join(bodies.select("key", "body", "first"), ["key", "body"])
+        marked.append(settled.where("doc > first").select("node", "doc", "lo", "hi"))
+        # the places of every extension, in its first document, that differs from another of its anchor
+        todo = stage(settled.where("doc = first").join(keys, "key").select("gram", "key", "node", "doc", "lo", "hi", "words"), "passage-todo")
+        dealt = contents(texts_of(docs, listed(todo.where(F.col("words") <= share)), "passage-open"), True, window)
+        marked.append(stage(in_shares(dealt, lambda held: extended(held, window), LEAST_BYTES), "passage-extended"))
+        large = todo.where(F.col("words") > share)
+        if not large.limit(1).count():
+            break
+        parts = stage(divided(texts_of(docs, listed(large), "passage-large"), True, gram, window, width), "passage-parts")
+        several = parts.groupBy("key").agg(F.min("doc").alias("_least"), F.max("doc").alias("_most")).where("_least < _most").select("key")
+        met = stage(parts.join(several, "key", "left_semi"), "passage-seeds")
+    spans = marked[0]
+    for more in marked[1:]:
+        spans = spans.unionByName(more)
+    spans = spans.groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
@@ -68,17 +96,18 @@ def removals(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFra
                 kept += words[at:]
                 removed.append(len(words) - len(kept))
                 shas.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("doc"), pa.array(removed, pa.int64()), pa.array(shas)], names=["node", "doc", "_removed", "_sha"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(removed, pa.int64()), pa.array(shas)], names=["node", "_removed", "_sha"])
 
-    texts = texts_of(docs, spans, "passage-spans").dropDuplicates(["node", "doc"])
-    cuts = stage(texts.mapInArrow(cut, "node binary, doc long, _removed long, _sha string"), "passage-cuts")
-    rows = join_checked(placed.select("doc_id", "node", "rep", "n", "kept_sha"), cuts, [F.col("doc_id") == cuts["doc"], placed["node"] == cuts["node"]], "left")
+    cuts = stage(texts_of(docs, spans, "passage-spans").mapInArrow(cut, "node binary, _removed long, _sha string"), "passage-cuts")
+    known = cuts.unionByName(classes, allowMissingColumns=True).groupBy("node").agg(*(F.max(c).alias(c) for c in ("_removed", "_sha", "rep")))
+    rows = base.select("doc_id", "node", "n", "kept_sha").join(known, "node", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n") >= window)
+    own = F.col("doc_id") == F.col("rep")
     return rows.select(
         "doc_id",
         F.col("n").alias("n_words"),
-        F.when(copy, F.col("n")).otherwise(F.coalesce("_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("_sha", "kept_sha")).alias("kept_sha256"),
+        F.when(copy, F.col("n")).when(own, F.coalesce("_removed", F.lit(0))).otherwise(0).cast("long").alias("n_removed"),
+        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).when(own, F.coalesce("_sha", "kept_sha")).otherwise(F.col("kept_sha")).alias("kept_sha256"),
     )
 
 

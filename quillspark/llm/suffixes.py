@@ -3,19 +3,19 @@
 Suffixes need sorting only where texts share some of their content, so texts are
 first cut into winnowed blocks (runs of windows with one smallest gram; equal
 windows lie in blocks of one gram).  Blocks with equal content are settled as a
-whole.  The contents of the others are dealt out by gram and each task sorts its
+whole.  The contents of the others are dealt out by key and each task sorts its
 share: triples at places not divisible by three are sorted and named, names that
 tie are sorted by recursion on the string of names, the remaining suffixes are
 sorted by their first byte and the rank behind it and merged, and adjacent
 suffixes are compared over ``LENGTH`` bytes.  All places of a string share its
-gram, so no task misses a match.  A gram whose blocks exceed ``SORT_BYTES``
-would not fit one task: its windows are grouped by fingerprint instead, a row
-each, with partial aggregation.
+key, so no task misses a match.  A key with more than ``SHARE_BYTES`` of content
+is first divided by longer common content, as ``_blocks`` tells, until it fits.
 
 Edge cases: null and empty texts have no byte; texts under ``LENGTH`` bytes keep
 all; equal texts are one class (all of it goes if it is long enough); repeats
-inside one text count; rows with a null or shared id are rows of their own; an
-empty table gives an empty result; other columns are ignored.
+inside one text count; rows with a null or shared id are rows of their own; a
+text of any length is scanned as one; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import covered, join_checked, node_of, scan, texts_of, unpack, window_rows
+from ._blocks import bits_of, contents, covered, divided, in_shares, listed, node_of, perhaps, scan, texts_of, unpack, widths, within
 from ._cluster import prepare, stage, table
 from ._words import steps
 
 LENGTH, GRAM = 400, 128
-#: Bytes of one gram's blocks that a task sorts at once; also the least a sort is given before it runs.
-SORT_BYTES = 4 << 20
-BATCH_BYTES = 1 << 20
+#: Bytes of content that one key may bring to a sort; keys are sorted together from so many bytes on.
+SHARE_BYTES = 1 << 20
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -129,89 +128,41 @@ def repeated_places(contents: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(hit[a : a + n]) for a, n in zip(begin.tolist(), sizes.tolist())]
 
 
-_FLAGGED = "node binary, lo int, hi int"
+def _one_a_class(base: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows of ``base`` with one for each text: copies are alike, so any of them will do."""
+    told = perhaps(base, "node", bits_of(copies, "node"))
+    placed = told.where("_maybe").join(copies.select("node", F.lit(True).alias("_copied")), "node", "left")
+    met = placed.where("_copied").groupBy("node").agg(*(F.min(c).alias(c) for c in base.columns if c != "node"))
+    return told.where("not _maybe").select(*base.columns).unionByName(placed.where("_copied is null").select(*base.columns)).unionByName(met.select(*base.columns))
 
 
-def _runs(places: np.ndarray) -> list[tuple[int, int]]:
-    cut = np.flatnonzero(np.diff(places) > 1)
-    return list(zip(places[np.concatenate(([0], cut + 1))].tolist(), places[np.append(cut, len(places) - 1)].tolist())) if len(places) else []
-
-
-def _contents(joined: DataFrame, length: int) -> DataFrame:
-    """(gram, node, at, data) for the blocks listed on each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches):
-            grams, nodes, ats, data = [], [], [], []
-            for node, text, blocks in zip(part.column("node").to_pylist(), part.column("text").to_pylist(), part.column("blocks").to_pylist()):
-                raw = (text or "").encode()
-                for b in blocks:
-                    grams.append(b["gram"])
-                    nodes.append(node)
-                    ats.append(b["lo"])
-                    data.append(raw[b["lo"] : b["hi"] + length])
-            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(nodes, pa.binary()), pa.array(ats, pa.int32()), pa.array(data, pa.binary())], names=["gram", "node", "at", "data"])
-
-    return joined.mapInArrow(run, "gram long, node binary, at int, data binary")
-
-
-def _sorted_shares(contents: DataFrame, length: int) -> DataFrame:
-    """Flagged runs of windows from rows dealt and sorted by gram."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
-
-        def settle() -> pa.RecordBatch:
-            out = [(node, at + a, at + b) for (node, at, _), places in zip(held, repeated_places([c for _, _, c in held], length)) for a, b in _runs(places)]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.int32())], names=["node", "lo", "hi"])
-
-        for batch in batches:
-            for gram, node, at, data in zip(*(batch.column(k).to_pylist() for k in ("gram", "node", "at", "data"))):
-                if gram != last and size >= BATCH_BYTES:
-                    yield settle()
-                    held, size = [], 0
-                held.append((node, at, data))
-                size += len(data)
-                last = gram
-        if held:
-            yield settle()
-
-    return contents.mapInArrow(run, _FLAGGED)
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort_bytes: int = SORT_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, share: int = SHARE_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     prepare(spark)
-    base = stage(scan(docs, False, gram, length).withColumn("node", node_of(F.col("sha"))), "suffix-scan")
-    copies = stage(base.groupBy("node").agg(F.count("*").alias("_n")).where("_n > 1").select("node", F.lit(True).alias("copied")), "suffix-copies")
-    placed = join_checked(base, copies, "node", "left")
-    # one text a class: copies are alike, so any of them will do
-    one = placed.where("copied is null").unionByName(placed.where("copied").groupBy("node").agg(*(F.min(c).alias(c) for c in placed.columns if c != "node")).select(*placed.columns))
-    blocks = unpack(one).drop("doc")
+    base = stage(scan(docs, False, gram, length).withColumn("node", node_of(F.col("sha"))).drop("sha"), "suffix-scan")
+    copies = stage(base.groupBy("node").agg(F.count("*").alias("_n")).where("_n > 1").select("node"), "suffix-copies")
+    blocks = unpack(_one_a_class(base, copies))
     shared = stage(blocks.groupBy("gram").agg(F.count("*").alias("_n"), F.max("inside").alias("_in")).where("_n > 1 or _in").select("gram"), "suffix-grams")
-    met = stage(blocks.join(shared, "gram"), "suffix-met")
-    bodies = stage(met.groupBy("gram", "body").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("inside").alias("inside"), F.max(F.col("hi") - F.col("lo")).alias("span")), "suffix-bodies")
-    grams = bodies.groupBy("gram").agg(F.count("*").alias("_n"), F.max("inside").alias("_in"), F.sum(F.col("span") + length + 1).alias("bytes")).where("_n > 1 or _in").select("gram", "bytes")
-    settled = met.drop("inside").join(bodies, ["gram", "body"])
-    whole = settled.where("n > 1").select("node", "lo", "hi")
-    # one place of every content whose gram has others
-    place = settled.where(F.col("node") == F.col("first")).groupBy("gram", "body").agg(F.min(F.struct("node", "lo", "hi")).alias("p")).join(grams, "gram")
-    todo = stage(place.select("gram", "bytes", "p.node", "p.lo", "p.hi"), "suffix-todo")
-
-    def listed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("node").agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("blocks"))
-
-    texts = texts_of(docs, listed(todo.where(F.col("bytes") <= sort_bytes)), "suffix-open").dropDuplicates(["node"])
-    shares = _contents(texts, length).repartition("gram").sortWithinPartitions("gram")
-    flagged = whole.unionByName(stage(_sorted_shares(shares, length), "suffix-flagged"))
-    giant = todo.where(F.col("bytes") > sort_bytes)
-    if giant.limit(1).count():
-        rows = texts_of(docs, listed(giant), "suffix-giant").dropDuplicates(["node"]).withColumn("doc", F.lit(0).cast("long"))
-        windows = stage(window_rows(rows, False, length), "suffix-windows")
-        again = windows.groupBy("gram", "win").agg(F.count("*").alias("_n")).where("_n > 1").select("gram", "win")
-        flagged = flagged.unionByName(windows.join(again, ["gram", "win"], "left_semi").select("node", F.col("at").alias("lo"), F.col("at").alias("hi")))
-    spans = join_checked(flagged, copies, "node", "left_anti").groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    met = stage(within(blocks, shared, "gram"), "suffix-met")
+    flagged = []
+    for width in [*widths(gram, length), None]:
+        bodies = stage(met.groupBy("key", "body").agg(F.count("*").alias("n"), F.min(F.struct("node", "lo", "hi")).alias("p"), F.max("inside").alias("inside"), F.max("gram").alias("gram")), "suffix-bodies")
+        keys = bodies.groupBy("key").agg(F.count("*").alias("_n"), F.max("inside").alias("_in"), F.sum(F.col("p.hi") - F.col("p.lo") + 1 + length).alias("bytes")).where("_n > 1 or _in").select("key", "bytes")
+        flagged.append(met.join(bodies.where("n > 1").select("key", "body"), ["key", "body"], "left_semi").select("node", "lo", "hi"))
+        # one place of every content whose key has others
+        todo = stage(bodies.join(keys, "key").select("gram", "key", "p.node", F.lit(0).cast("long").alias("doc"), "p.lo", "p.hi", "bytes"), "suffix-todo")
+        dealt = contents(texts_of(docs, listed(todo.where(F.col("bytes") <= share)), "suffix-open"), False, length)
+        flagged.append(stage(in_shares(dealt, lambda held: repeated_places([data for *_, data in held], length), share), "suffix-flagged").select("node", "lo", "hi"))
+        large = todo.where(F.col("bytes") > share)
+        if not large.limit(1).count():
+            break
+        parts = stage(divided(texts_of(docs, listed(large), "suffix-large"), False, gram, length, width), "suffix-parts")
+        met = stage(parts.join(parts.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "key", "left_semi"), "suffix-met")
+    spans = flagged[0]
+    for more in flagged[1:]:
+        spans = spans.unionByName(more)
+    spans = spans.join(copies, "node", "left_anti").groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches):
@@ -231,8 +182,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort_bytes:
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas)], names=["node", "_removed", "_runs", "_sha"])
 
     cuts = stage(texts_of(docs, spans, "suffix-spans").mapInArrow(cut, "node binary, _removed long, _runs long, _sha string"), "suffix-cuts")
-    rows = join_checked(placed.select("doc_id", "node", "n", "kept_sha", "copied"), cuts, "node", "left")
-    gone = F.coalesce("copied", F.lit(False)) & (F.col("n") >= length)
+    rows = base.select("doc_id", "node", "n", "kept_sha").join(cuts.unionByName(copies.select("node", F.lit(True).alias("_copied")), allowMissingColumns=True), "node", "left")
+    gone = F.col("_copied").isNotNull() & (F.col("n") >= length)
     return rows.select(
         "doc_id",
         F.col("n").alias("n_bytes"),

@@ -1,6 +1,10 @@
+import random
+
 import brute
+import pytest
 
-from quillspark.llm import _blocks, passages
+from quillspark.llm import passages
+from quillspark.llm._words import STEP_BYTES
 
 
 def expected(docs, window=50):
@@ -27,11 +31,19 @@ def test_against_brute_force(spark):
         assert told(passages.removals(brute.frame(spark, docs))) == expected(docs)
 
 
-def test_against_brute_force_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(_blocks, "BROADCAST_BYTES", -1)
+@pytest.mark.parametrize("share", [2000, 1])
+def test_divided_anchors(spark, share):
+    """With 2000 words a share frequent anchors are divided; with 1 all are, down to single windows."""
     docs = brute.corpus(21)
     docs += [(1000 + k, docs[0][1]) for k in range(40)]
-    assert told(passages.removals(brute.frame(spark, docs))) == expected(docs)
+    assert told(passages.removals(brute.frame(spark, docs), share=share)) == expected(docs)
+
+
+def test_a_text_beyond_a_step(spark):
+    rnd = random.Random(6)
+    words = [f"w{rnd.randrange(10**7)}" for _ in range(STEP_BYTES // 5)]
+    docs = [(1, " ".join(words)), (2, "new " + "\n".join(words[-80:])), (3, " ".join(words[1000:1049])), (4, " ".join(words))]
+    assert {i: n[1] for i, n in told(passages.removals(brute.frame(spark, docs))).items()} == {1: 0, 2: 80, 3: 0, 4: len(words)}
 
 
 def test_short_windows(spark):

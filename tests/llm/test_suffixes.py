@@ -5,7 +5,10 @@ import brute
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillspark.llm import _blocks, suffixes
+from quillspark.llm._words import STEP_BYTES
 
 
 def expected(docs, length):
@@ -46,23 +49,29 @@ def test_repeated_places_do_not_cross_strings():
         assert [list(p) for p in suffixes.repeated_places(parts, length)] == [[i for i in range(len(x) - length + 1) if seen[x[i : i + length]] > 1] for x in parts]
 
 
-@pytest.mark.parametrize("sort_bytes", [suffixes.SORT_BYTES, 1500])
-def test_against_brute_force(spark, sort_bytes):
-    """With 1500 bytes a sort, frequent grams take the way of grouped windows."""
+@pytest.mark.parametrize("share", [suffixes.SHARE_BYTES, 1500, 1])
+def test_against_brute_force(spark, share):
+    """With 1500 bytes a share frequent grams are divided; with 1 all are, down to single windows."""
     docs = brute.corpus(11)
-    assert told(suffixes.repeats(brute.frame(spark, docs), 100, 40, sort_bytes)) == expected(docs, 100)
+    docs += [(1000 + k, docs[0][1]) for k in range(40)]
+    assert told(suffixes.repeats(brute.frame(spark, docs), 100, 40, share)) == expected(docs, 100)
 
 
-def test_against_brute_force_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(_blocks, "BROADCAST_BYTES", -1)
-    docs = brute.corpus(11)
-    docs += [(1000 + k, docs[0][1]) for k in range(40)]
-    assert told(suffixes.repeats(brute.frame(spark, docs), 100, 40)) == expected(docs, 100)
+def test_a_text_beyond_a_step(spark):
+    """A text longer than the scan's steps is one document, and meets others in any place of it."""
+    rnd = random.Random(5)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(STEP_BYTES + 200_000))
+    docs = [(1, long), (2, long[:900] + "x"), (3, "y" + long[-700:]), (4, long[STEP_BYTES - 300 : STEP_BYTES + 300]), (5, long[50:449])]
+    got = told(suffixes.repeats(brute.frame(spark, docs)))
+    assert [got[i][1:3] for i in (1, 2, 3, 4, 5)] == [(900 + 700 + 600, 3), (900, 1), (700, 1), (600, 1), (0, 0)]
 
 
-def test_held_bytes_counts_what_arrays_hold(spark):
-    few = spark.sql("SELECT 'abc' AS node, transform(sequence(1, 1000), i -> named_struct('lo', i, 'hi', i)) AS spans")
-    assert 48_000 <= _blocks.held_bytes(few) <= 49_000 and _blocks.held_bytes(few.limit(0)) == 0
+def test_a_filter_misses_no_key(spark):
+    keys = spark.range(0, 3000, 3).select(F.col("id").alias("k"))
+    told_ = _blocks.perhaps(spark.range(3000).select(F.col("id").alias("k")), "k", _blocks.bits_of(keys, "k"))
+    rows = {r["k"]: r["_maybe"] for r in told_.collect()}
+    assert len(rows) == 3000 and all(rows[k] for k in range(0, 3000, 3)) and sum(rows.values()) < 1100
+    assert _blocks.within(spark.range(3000).select(F.col("id").alias("k")), keys, "k").count() == 1000
 
 
 def test_contract_length(spark):
