@@ -9,39 +9,40 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
 import quillspark
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch; texts may be long, and each worker holds one batch.
-BATCH_ROWS = 1000
-
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and bound their batches."""
+    """Let Python workers import this package; Arrow batches are bounded by the session (64 MB by default)."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(quillspark.__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    folder = f"{base.rstrip('/')}/quillspark-{spark.sparkContext.applicationId}"
-    if folder not in _known:
-        _known.add(folder)
-        atexit.register(_remove, spark, folder)
-    return folder
+    """This application's part of the folder that ``spark.checkpoint.dir`` names.
+
+    Where none is set, one machine may use a temporary folder of its own; a cluster may not.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        _folders[app] = f"{base.rstrip('/')}/quillspark-{app}"
+        atexit.register(_remove, spark, _folders[app])
+    return _folders[app]
 
 
-_known: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
@@ -60,14 +61,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it as read back."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def free(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in staged:
+        _remove(df.sparkSession, df.staged_path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def parts(spark: SparkSession, df: DataFrame | None = None, mb: int = 16) -> int:
-    """Tasks for an exchange: the session's shuffle partitions, or more if the plan's size asks for it."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

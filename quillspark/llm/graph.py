@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cluster import stage
+from ._cluster import free, stage
 
 
 def _smaller_first(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stage(_smaller_first(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))), "cc")
     told = None
     while True:
-        now = stage(_small_star(_large_star(now)), "cc")
+        before, now = now, stage(_small_star(_large_star(now)), "cc")
+        free(before)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if state == told:
             break

@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._cluster import prepare, stage, table
+from ._blocks import bits_of, perhaps, within
+from ._cluster import free, prepare, stage, table
 from ._words import Words, mixed, prefix_hash, range_hash, steps, window_hashes, window_starts
 from .graph import components
 
@@ -99,8 +100,13 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def _entries(classes: DataFrame) -> DataFrame:
-    """(key, node): the class under every chunk with one symbol left out."""
+def _band(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes by a logarithm, so that sets of ``percent`` similarity lie in one band or in neighbours."""
+    return np.floor(np.log(np.maximum(n, 1)) / (np.log(100 / percent) * 1.0001) if percent < 100 else n).astype(np.int16)
+
+
+def _entries(classes: DataFrame, percent: int) -> DataFrame:
+    """(key, node, band): the class under every chunk with one symbol left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,10 +119,10 @@ def _entries(classes: DataFrame) -> DataFrame:
                 place = (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(CHUNK) + np.uint64(wild)) << np.uint64(48)
                 keys.append(place | x << np.uint64(32) | y << np.uint64(16) | z)
             key = np.stack(keys, axis=2).reshape(len(s), -1)
-            nodes = np.repeat(np.asarray(batch.column("node")), key.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(nodes, pa.int64())], names=["key", "node"])
+            nodes, bands = (np.repeat(x, key.shape[1]) for x in (np.asarray(batch.column("node")), _band(np.asarray(batch.column("n")), percent)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(nodes, pa.int64()), pa.array(bands, pa.int16())], names=["key", "node", "band"])
 
-    return classes.select("node", "sig").mapInArrow(run, "key long, node long")
+    return classes.select("node", "sig", "n").mapInArrow(run, "key long, node long, band smallint")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -147,7 +153,9 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Da
                 good.append(len(p) > 0 and 100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return stage(both.mapInArrow(compare, "a long, b long"), "near-links")
+    out = stage(both.mapInArrow(compare, "a long, b long"), "near-links")
+    free(involved, own)
+    return out
 
 
 def _exclusive(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -237,31 +245,43 @@ def _across(mixed_rows: DataFrame, top: int, percent: int) -> DataFrame:
     return rows.groupBy("key", "i", "j").applyInArrow(meet, "a long, b long, more boolean")
 
 
+def _in_reach(rows: DataFrame, who: str) -> DataFrame:
+    """``rows`` (key, band, ...) whose entry has several ``who`` in their band and its neighbours, with the ``least`` of these."""
+    cells = rows.groupBy("key", "band").agg(F.min(who).alias("_lo"), F.max(who).alias("_hi"))
+    near = F.explode(F.array(*((F.col("band") + k).cast("smallint") for k in (-1, 0, 1)))).alias("band")
+    spread = cells.select("key", near, "_lo", "_hi").groupBy("key", "band").agg(F.min("_lo").alias("least"), F.max("_hi").alias("_hi")).where("least < _hi")
+    return rows.join(spread.drop("_hi"), ["key", "band"])
+
+
 def link_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     prepare(docs.sparkSession)
     signed = stage(_signed(docs, shingle), "near-signed")
-    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"))
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n"))
     # ids in several classes (rows that share an id) keep the links of each
     members = stage(classes.where("node is not null"), "near-classes")
-    keys = _entries(members)
-    shared = stage(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most"), "near-entries")
+    keys = _entries(members, percent)
     # the entries that more than one class has
-    met = stage(keys.join(shared, "key").select("key", "node", "least"), "near-met")
+    shared = stage(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key"), "near-entries")
+    held = stage(within(keys, shared, "key"), "near-held")
+    met = stage(_in_reach(held, "node"), "near-met")
+    free(shared, held)
     tried = stage(met.where("least < node").groupBy("node").agg(F.min("least").alias("a")).select("a", F.col("node").alias("b")), "near-stars")
     links = _confirmed(docs, tried, shingle, percent)
     found = stage(components(links), "near-components")
+    free(links)
     labelled = lambda rows, name, out: rows.join(found.select(F.col("node").alias(name), F.col("component").alias("_c")), name, "left").withColumn(out, F.coalesce("_c", name)).drop("_c")
-    places = met.select("key", "node")
-    top, known = 16, None
+    places, top, known = met.drop("least"), 16, None
     while True:
-        placed = stage(labelled(places, "node", "comp"), "near-placed")
+        labels = stage(labelled(places, "node", "comp"), "near-labels")
+        placed = stage(_in_reach(labels, "comp").drop("least"), "near-placed")
+        free(labels)
         counts = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        several = counts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n_all"), F.count("*").alias("_comps")).where("_comps > 1")
+        several = counts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("n_all"))
         several = stage(several.select("key", F.col("top.comp").alias("top"), F.col("top.n").alias("n_major"), (F.col("n_all") - F.col("top.n")).alias("n_minor")), "near-several")
-        rows = placed.join(several, "key").withColumn("major", F.col("comp") == F.col("top"))
+        rows = placed.drop("band").join(several, "key").withColumn("major", F.col("comp") == F.col("top"))
         if known is None:
-            nodes = stage(rows.select("node").distinct(), "near-open")
+            nodes = stage(placed.select("node").distinct(), "near-open")
             sizes = signed.where("digest is not null").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("_most"), F.min("n_shingles").alias("n"), F.count_distinct("digest").alias("_sets"))
             # an id with several sets is bounded by none of them
             common = F.when(F.col("_sets") > 1, F.col("_most")).otherwise(F.col("n") - F.coalesce("own", F.lit(0)))
@@ -270,21 +290,29 @@ def link_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             measured = stage(measured.where(100 * F.col("common") >= percent * F.col("n")), "near-measured")
             known = measured.join(_profiles(docs, measured.select("node"), shingle), "node")
             known = stage(known.withColumn("profile", F.when(F.col("several_sets"), F.lit(b"")).otherwise(F.col("profile"))).drop("several_sets"), "near-known")
-            places = stage(places.join(known.select("node"), "node", "left_semi"), "near-places")
+            places = stage(placed.drop("comp").join(known.select("node"), "node", "left_semi"), "near-places")
+            free(met, nodes, measured, placed, several)
             continue
         near = stage(_across(rows.join(known, "node"), top, percent), "near-pairs")
+        free(placed, several)
         fresh = stage(near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-fresh")
         if fresh.limit(1).count():
-            tried = stage(tried.unionByName(fresh), "near-tried")
+            before, tried = tried, stage(tried.unionByName(fresh), "near-tried")
+            free(before)
             new = _confirmed(docs, fresh, shingle, percent)
             if new.limit(1).count():
                 joined = components(labelled(labelled(new, "a", "ca"), "b", "cb").select("ca", "cb"), "ca", "cb")
                 every = found.unionByName(new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
-                found = stage(every.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "near-components")
+                before, found = found, stage(every.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "near-components")
+                free(before)
+            free(new)
+        done = not near.where("more").limit(1).count()
+        free(near, fresh)
         # without more, every pair in reach has been named and compared
-        if not near.where("more").limit(1).count():
+        if done:
             break
         top *= 16
+    free(known, places, tried)
     to = members.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     linked = signed.drop("sig").join(to, "digest", "left")
     # an id in several classes reports the smallest component of them through its links
@@ -292,19 +320,43 @@ def link_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     return linked.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _own_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that numbers its texts: the id, but where it is null or has several texts a number beyond all ids; and its name."""
+    name = "rid"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    sha = F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), 1, 16)
+    told = docs.select(F.col("doc_id").cast("long").alias("_id"), sha.alias("_sha"))
+    odd = stage(told.groupBy("_id").agg(F.min("_sha").alias("_a"), F.max("_sha").alias("_b")).where("_id is null or _a <> _b").select("_id"), "near-odd")
+    if not odd.limit(1).count():
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name
+    most = told.agg(F.max("_id")).first()[0] or 0
+    # numbered once and written, so that a lost task does not number them anew
+    numbered = stage(told.alias("t").join(odd.alias("o"), F.expr("t._id <=> o._id"), "left_semi").distinct().withColumn("_new", F.monotonically_increasing_id() + (max(most, 0) + 1)), "near-numbers")
+    keyed = docs.withColumn(name, sha).alias("d").join(numbered.alias("n"), F.expr(f"cast(d.doc_id as long) <=> n._id and d.{name} = n._sha"), "left")
+    return keyed.select(*(F.col(f"d.`{c}`") for c in docs.columns), F.coalesce("n._new", F.col("d.doc_id").cast("long")).alias(name)), name
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of every component, unchanged."""
-    told = stage(link_components(docs, shingle, percent), "near-told")
-    losers = stage(told.where("not kept").select("doc_id").where("doc_id is not null").distinct(), "near-losers")
-    small = losers.count() <= BROADCAST_IDS
-    kept = docs.where("doc_id is not null").join(F.broadcast(losers) if small else losers, "doc_id", "left_anti").select(*docs.columns)
-    again = stage(told.groupBy("doc_id").count().where("count > 1").select("doc_id"), "near-repeated")
+    """``docs`` with one row of every component, unchanged: the one with the smallest id; rows without an id come after all others.
+
+    Texts are linked by themselves: a null id or one that several texts share joins
+    nothing and loses nothing.  Rows without a word are linked with nothing; rows
+    with one id and one text are copies, of which one stays, the first by its columns.
+    """
+    rows, rid = _own_ids(docs)
+    told = stage(link_components(rows.select(F.col(rid).alias("doc_id"), "text"), shingle, percent), "near-told")
+    losers = stage(told.where("not kept").select(F.col("doc_id").alias(rid)).distinct(), "near-losers")
+    again = stage(told.groupBy(F.col("doc_id").alias(rid)).count().where("count > 1").select(rid), "near-repeated")
+    told = perhaps(rows, rid, bits_of(losers, rid), f"{rid}_")
+    kept = told.where(~F.col(f"{rid}_")).drop(f"{rid}_").unionByName(told.where(F.col(f"{rid}_")).drop(f"{rid}_").join(losers, rid, "left_anti").select(*(F.col(f"`{c}`") for c in rows.columns)))
     if not again.limit(1).count():
-        return kept
-    # repeated rows: the first by text of every id stays
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    repeated = kept.join(again, "doc_id", "left_semi").select(*docs.columns).withColumn("__near_r", F.row_number().over(first)).where("__near_r = 1").drop("__near_r")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
+        return kept.drop(rid)
+    copy = (F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("text").isNotNull()) | F.col("doc_id").isNotNull()
+    first = Window.partitionBy(rid).orderBy(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
+    repeated = kept.join(again, rid, "left_semi")
+    one = repeated.where(copy).withColumn(f"{rid}_", F.row_number().over(first)).where(f"{rid}_ = 1")
+    return kept.join(again, rid, "left_anti").drop(rid).unionByName(one.drop(rid, f"{rid}_")).unionByName(repeated.where(~copy).drop(rid))
 
 
 def op9_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

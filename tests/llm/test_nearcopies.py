@@ -53,6 +53,19 @@ def test_blanks_link_with_nothing_and_repeated_rows_stay_one(spark):
     assert sorted(r["doc_id"] for r in one.collect()) == [1, 2, 3, 7, 9]
 
 
+def test_rows_without_an_id_or_with_a_shared_one_are_kept_by_their_texts(spark):
+    text = [" ".join(f"{a}{i}" for i in range(40)) for a in "abcd"]
+    docs = [(None, text[0]), (None, text[1]), (5, text[1] + " more"), (6, text[2]), (6, text[3]), (6, text[3]), (9, text[2]), (None, None), (None, None), (7, ""), (None, text[0])]
+    odd = "doc_id long, text string, _maybe string, rid string, `a.b` string"
+    frame = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in docs], odd)
+    one = nearcopies.one_of_each(frame)
+    assert one.columns == frame.columns
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in one.collect())
+    # the copy with an id stays; of the two texts of 6 one is that of 9, and of two numberless copies one stays
+    want = [("None", text[0]), ("5", text[1] + " more"), ("9", text[2]), ("6", text[3]), ("None", ""), ("None", ""), ("7", "")]
+    assert got == sorted(want)
+
+
 def test_empty_table(spark):
     assert nearcopies.link_components(brute.frame(spark, [])).collect() == []
 
