@@ -174,6 +174,38 @@ def best_substring(source: Column, target: Column, costs: Costs = UNIT, transpos
     return F.pandas_udf(run, kind)(F.coalesce(source, F.lit("")), F.coalesce(target, F.lit("")))
 
 
+class PreparedPattern:
+    """A pattern measured against a column: its bits are laid out once, and a text takes a step a symbol (Myers' bit vectors)."""
+
+    def __init__(self, pattern: str):
+        self.pattern, self.n, self.masks = pattern, len(pattern), {}
+        for i, c in enumerate(pattern):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
+
+    def distance_to(self, text: str) -> int:
+        """Levenshtein distance, in code points."""
+        if not self.n:
+            return len(text)
+        full, top = (1 << self.n) - 1, 1 << (self.n - 1)
+        up, down, score = full, 0, self.n
+        for c in text:
+            same = self.masks.get(c, 0)
+            x = (((same & up) + up) ^ up) | same | down
+            plus, minus = down | (full & ~(x | up)), up & x
+            score += bool(plus & top) - bool(minus & top)
+            plus = plus << 1 | 1
+            up, down = (minus << 1 | ~((same | down) | plus)) & full, plus & (same | down)
+        return score
+
+    def levenshtein(self, text: Column) -> Column:
+        return per_word(self.distance_to, "int")(text)
+
+    def within(self, text: Column, k: int) -> Column:
+        """The distance, or null beyond ``k``."""
+        d = self.levenshtein(text)
+        return F.when(d <= k, d)
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Places that differ; null unless both have as many code points."""
     pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))

@@ -629,6 +629,15 @@ def difference(a: Column, b: Column) -> Column:
     return F.aggregate(places, F.lit(0), lambda s, v: s + v)
 
 
+def tokenize_and_phoneticize(text: Column, encode, stop_words=None, keep_stops: bool = False) -> Column:
+    """Codes of a text's words, lower-cased; stop words go unless kept."""
+    from .text import StopWords, word_tokens
+    from .words import per_array
+
+    tokens = F.transform(word_tokens(text), F.lower)
+    return per_array(encode, "string")(tokens if keep_stops else (stop_words or StopWords.for_language("en")).keep(tokens))
+
+
 def phoneticize_tokens(tokens: Column, encode, stop_words) -> Column:
     """Codes of the tokens that are no stop words; nothing is folded before the test."""
     from .words import per_array

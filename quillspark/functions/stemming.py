@@ -685,11 +685,26 @@ def stem_vocabulary(tokens: DataFrame, column: str, language: str = "en") -> Dat
     return tokens.select(F.col(column).alias("word")).distinct().withColumn("stem", stem(F.col("word"), language))
 
 
+#: Languages whose stop words are compared in lower case, and those whose stemmers read lower case; the others take tokens as they are.
+LOWER_STOPS = frozenset({"fr", "no", "pt", "sv"})
+LOWER_STEMS = frozenset({"de", "es", "fr", "it", "nl", "ru", "uk"})
+#: A token without any of these letters is left as it is.
+GATES = {"de": "a-zA-ZäöüßÄÖÜ", "es": "a-zA-ZáéíóúüñÁÉÍÓÚÜÑ", "fr": "a-zA-ZâàçëéêèïîôûùÂÀÇËÉÊÈÏÎÔÛÙ", "it": "a-zA-ZàèéìòùÀÈÉÌÒÙ", "nl": "a-zA-ZäëïöüáéíóúèÄËÏÖÜÁÉÍÓÚÈ", "ru": "а-яёА-ЯЁ", "uk": "а-щьюяіїєґА-ЩЬЮЯІЇЄҐ"}
+
+
 def tokenize_and_stem(text: Column, language: str = "en", stop_words=None, keep_stops: bool = False) -> Column:
-    """Words, lower-cased, without stop words unless kept, stemmed."""
+    """Words without stop words unless kept, stemmed; casing and gate are the language's own."""
     from .text import StopWords, word_tokens
 
-    tokens = F.transform(word_tokens(text), F.lower)
+    tokens = word_tokens(text)
     if not keep_stops:
-        tokens = (stop_words or StopWords.for_language({"lancaster": "en"}.get(language, language))).keep(tokens)
-    return stems(tokens, language)
+        stops = stop_words or StopWords.for_language({"lancaster": "en"}.get(language, language))
+        tokens = F.filter(tokens, lambda t: ~stops.holds(F.lower(t) if language in LOWER_STOPS else t))
+    gate, fold = re.compile(f"[{GATES[language]}]") if language in GATES else None, language in LOWER_STEMS
+    one = STEMMERS[language]
+
+    def stem_one(token: str) -> str:
+        given = token.lower() if fold else token
+        return given if gate and not gate.search(given) else one(given)
+
+    return per_array(stem_one, "string")(tokens)

@@ -174,6 +174,30 @@ STOP_WORDS: dict[str, frozenset[str]] = {
 }
 
 
+#: Abbreviations behind which no sentence ends, a list of this project's own for each language; pass another to replace it.
+ABBREVIATIONS: dict[str, tuple[str, ...]] = {
+    "en": ("Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "Sr.", "Jr.", "St.", "vs.", "etc.", "e.g.", "i.e.", "cf.", "No.", "Inc.", "Ltd.", "Co.", "Fig.", "p.", "pp.", "approx.", "dept.", "est."),
+    "es": ("Sr.", "Sra.", "Srta.", "Dr.", "Dra.", "Prof.", "Ud.", "Uds.", "etc.", "p.ej.", "pág.", "págs.", "núm.", "av.", "depto.", "aprox.", "Lic.", "Ing."),
+}
+
+STOP_SETTING = "quillspark.stopwords"
+
+
+def set_global_stop_words(spark, words_: StopWords) -> None:
+    """The list ``is_global_stop_word`` asks; kept in the session's configuration."""
+    spark.conf.set(STOP_SETTING, "\n".join(words_.words))
+
+
+def global_stop_words(spark) -> StopWords:
+    """The session's list, the English one where none was set."""
+    told = spark.conf.get(STOP_SETTING, None)
+    return StopWords.for_language("en") if told is None else StopWords(told.split("\n") if told else ())
+
+
+def is_global_stop_word(spark, word: Column) -> Column:
+    return word.isin(*global_stop_words(spark).words)
+
+
 class StopWords:
     """An immutable list of stop words; membership is exact, without folding."""
 
@@ -199,5 +223,8 @@ class StopWords:
         listed = F.array(*map(F.lit, self.words)) if self.words else F.array().cast("array<string>")
         return F.filter(tokens, lambda t: ~F.array_contains(listed, t))
 
+    def holds(self, token: Column) -> Column:
+        return F.array_contains(F.array(*map(F.lit, self.words)), token) if self.words else F.lit(False)
+
     def table(self, spark):
         return spark.createDataFrame([(w,) for w in self.words], "word string")

@@ -32,6 +32,12 @@ class Bayes:
         add = lambda a, b, *k: a.unionByName(b).groupBy(*k).agg(F.sum("docs").alias("docs"))
         return Bayes(None, self.smoothing, add(self.classes, more.classes, "label"), add(self.features, more.features, "label", "feature"))
 
+    def minus(self, examples: DataFrame) -> Bayes:
+        """Counts without those of examples given before."""
+        less = Bayes(examples, self.smoothing)
+        take = lambda a, b, *k: a.unionByName(b.withColumn("docs", -F.col("docs"))).groupBy(*k).agg(F.sum("docs").alias("docs")).where("docs > 0")
+        return Bayes(None, self.smoothing, take(self.classes, less.classes, "label"), take(self.features, less.features, "label", "feature"))
+
     def scores(self, docs: DataFrame, key: str = "doc") -> DataFrame:
         """(doc, label, score): class share times the product of feature shares, as a logarithm."""
         totals = self.classes.select("label", (F.col("docs") + 1.0).alias("total"))
@@ -111,6 +117,20 @@ class Logistic:
         return self.scores(docs, key).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
+    def save(self, path: str) -> None:
+        from ..sources.artifacts import write_stamp
+
+        self.theta.write.mode("overwrite").parquet(f"{path}/theta")
+        write_stamp(self.theta.sparkSession, path, "logistic", {})
+
+    @classmethod
+    def load(cls, spark, path: str) -> Logistic:
+        from ..sources.artifacts import check_stamp
+
+        check_stamp(spark, path, "logistic", {})
+        return cls(spark.read.parquet(f"{path}/theta"))
+
+
 class MaxEnt:
     """Conditional maximum entropy over (outcome, predicate) weights, by generalised iterative scaling."""
 
@@ -150,6 +170,12 @@ class MaxEnt:
         every = contexts.select("event").distinct().join(F.broadcast(self.outcomes), how="cross").join(sums, ["event", "outcome"], "left").withColumn("s", F.exp(F.coalesce("s", F.lit(0.0))))
         return every.select("event", "outcome", (F.col("s") / F.sum("s").over(Window.partitionBy("event"))).alias("p"))
 
+    def log_likelihood(self, events: DataFrame) -> float:
+        """Sum of the log probabilities of (event, outcome, predicates) rows; an outcome the model lacks makes it minus infinity."""
+        p = self._distribution(events.select("event", "predicates"))
+        joined = events.select("event", "outcome").join(p, ["event", "outcome"], "left")
+        return joined.agg(F.sum(F.log(F.col("p"))).alias("s"), F.max(F.col("p").isNull()).alias("lost")).select(F.when(F.col("lost"), float("-inf")).otherwise(F.coalesce("s", F.lit(0.0)))).first()[0]
+
     def distribution(self, events: DataFrame) -> DataFrame:
         return self._distribution(events.select("event", "predicates"))
 

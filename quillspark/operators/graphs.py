@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +16,13 @@ class GraphError(ValueError):
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's checkpoint folder; in tests without one, a temporary folder."""
+    """Cut lineage through the cluster's checkpoint folder; on one machine without one, through a temporary folder."""
     spark = attach(df.sparkSession)
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            import tempfile
-
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
@@ -53,6 +56,29 @@ class Digraph:
             left = checkpointed(left.join(free, left["src"] == free["vertex"], "left_anti"))
             level += 1
 
+    def topological(self) -> DataFrame:
+        """(vertex, place) as a first-in first-out queue would give it; raises if there is a cycle.
+
+        Vertices are numbered as they first stand in the edges, source before target.  A queue takes whole levels in
+        turn; within one, a vertex stands where its last predecessor and that edge put it.
+        """
+        levels = checkpointed(self.levels())
+        first = self.edges.select(F.explode(F.array(F.struct(F.col("src").alias("vertex"), (F.col("edge_id") * 2).alias("at")), F.struct(F.col("dst").alias("vertex"), (F.col("edge_id") * 2 + 1).alias("at")))).alias("v")).groupBy("v.vertex").agg(F.min("v.at").alias("at"))
+        # the levels are the driver's loop; the vertices of a level are ordered in one window, as a total order asks
+        done, level, before = None, 0, 0
+        while True:
+            now = levels.where(F.col("level") == level)
+            n = now.count()
+            if not n:
+                return done if done is not None else levels.select("vertex", F.lit(0).cast("long").alias("place"))
+            if done is None:
+                keyed = now.join(first, "vertex").select("vertex", F.struct(F.lit(0).cast("long").alias("p"), F.col("at").cast("long").alias("e")).alias("key"))
+            else:
+                keyed = now.join(self.edges, F.col("vertex") == F.col("dst")).join(done.select(F.col("vertex").alias("src"), "place"), "src").groupBy("vertex").agg(F.max(F.struct(F.col("place").alias("p"), F.col("edge_id").cast("long").alias("e"))).alias("key"))
+            placed = keyed.select("vertex", (F.row_number().over(Window.orderBy("key")) - 1 + before).cast("long").alias("place"))
+            done = checkpointed(placed if done is None else done.unionByName(placed))
+            before, level = before + n, level + 1
+
     def paths(self, source, longest: bool = False) -> DataFrame:
         """(vertex, distance, edge_id) of every vertex that can be reached; ties go to the lower edge."""
         sign = -1.0 if longest else 1.0

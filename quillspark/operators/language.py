@@ -9,24 +9,51 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kana
 from ..session import attach
 
+#: The Unicode blocks whose letters vote for a script.
 SCRIPTS = {
-    "Latin": r"A-Za-zªºÀ-ÖØ-öø-ʯḀ-ỿ", "Cyrillic": r"Ѐ-ԯ", "Greek": r"Ͱ-Ͽἀ-῿", "Arabic": r"؀-ۿݐ-ݿ",
-    "Hebrew": r"֐-׿", "Devanagari": r"ऀ-ॿ", "Hiragana": r"ぁ-ゟ", "Katakana": r"ァ-ヿ", "Han": r"一-鿿㐀-䶿", "Hangul": r"가-힯ᄀ-ᇿ", "Thai": r"฀-๿",
-}
+    "Latin": r"A-Za-z\x{C0}-\x{2AF}\x{1E00}-\x{1EFF}",
+    "Cyrillic": r"\x{400}-\x{52F}",
+    "Greek": r"\x{370}-\x{3FF}\x{1F00}-\x{1FFF}",
+    "Arabic": r"\x{600}-\x{6FF}\x{750}-\x{77F}",
+    "Hebrew": r"\x{590}-\x{5FF}",
+    "Han": r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}",
+    "Hiragana": r"\x{3040}-\x{309F}",
+    "Katakana": r"\x{30A0}-\x{30FF}",
+    "Hangul": r"\x{AC00}-\x{D7AF}",
+    "Devanagari": r"\x{900}-\x{97F}",
+}
 NAMES = {"ar": "Arabic", "de": "German", "el": "Greek", "en": "English", "es": "Spanish", "fa": "Persian", "fr": "French", "hi": "Hindi", "id": "Indonesian", "it": "Italian", "ja": "Japanese", "ko": "Korean", "nl": "Dutch", "no": "Norwegian", "pl": "Polish", "pt": "Portuguese", "ru": "Russian", "sv": "Swedish", "th": "Thai", "tr": "Turkish", "uk": "Ukrainian", "zh": "Chinese"}
 
 
+def _only(text: Column, inside: str) -> Column:
+    """The alphabetic symbols of ``text`` in a character class."""
+    return F.regexp_replace(text, rf"[^{inside}]+|\P{{IsAlphabetic}}+", "")
+
+
 def detect_script(text: Column) -> Column:
-    """The script of most letters; a tie goes to the one that appears first, and no letter gives null."""
-    votes = []
-    for name, letters in SCRIPTS.items():
-        only = F.regexp_replace(text, f"[^{letters}]", "")
-        first = F.length(F.regexp_extract(text, f"(?s)^([^{letters}]*)", 1))
-        votes.append(F.struct(F.length(only).alias("n"), (-first).alias("first"), F.lit(name).alias("script")))
-    best = F.array_max(F.array(*votes))
-    return F.when(best["n"] > 0, best["script"])
+    """The script of most letters; null without a letter.
+
+    A tie goes to the tied script the text opens with.  Letters of no named script
+    are ``Other``, which wins by a strict majority only.  Texts in which letters
+    of ASCII outnumber all other symbols, the common case, take two passes.
+    """
+    ascii_letters = F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
+    beyond = F.length(F.regexp_replace(text, r"[\x00-\x7F]+", ""))
+    votes = F.array(*(F.struct(F.length(_only(text, inside)).alias("n"), F.lit(name).alias("script"), F.lit(f"^(?:[^{inside}]|\\P{{IsAlphabetic}})*+").alias("before")) for name, inside in SCRIPTS.items()))
+    named = "".join(SCRIPTS.values())
+    other = F.length(F.regexp_replace(text, rf"[{named}]+|\P{{IsAlphabetic}}+", ""))
+
+    def decided(x: Column) -> Column:
+        tied = F.filter(x["votes"], lambda v: v["n"] == F.array_max(F.transform(x["votes"], lambda w: w["n"])))
+        first = F.array_min(F.transform(tied, lambda v: F.struct(F.length(F.call_function("regexp_extract", text, v["before"], F.lit(0))).alias("at"), v["script"].alias("script"))))
+        named_wins = F.when(F.size(tied) == 1, tied[0]["script"]).otherwise(first["script"])
+        return F.when((tied[0]["n"] == 0) & (x["other"] == 0), F.lit(None)).when(x["other"] > tied[0]["n"], F.lit("Other")).otherwise(named_wins)
+
+    slow = F.transform(F.array(F.struct(votes.alias("votes"), other.alias("other"))), decided)[0]
+    return F.when(ascii_letters > beyond, F.lit("Latin")).otherwise(slow)
 
 
 BUCKETS = 4096
@@ -54,12 +81,12 @@ class LanguageDetector:
 
     @classmethod
     def fit(cls, docs: DataFrame, text: str = "text", label: str = "lang", sample: int = 300) -> LanguageDetector:
-        """``sample`` texts of every language, those with the smallest hash."""
+        """Fitted on whole texts: at most ``sample`` of every language, those with the smallest hash."""
         from pyspark.sql import Window
 
         attach(docs.sparkSession)
         order = Window.partitionBy(label).orderBy(F.xxhash64(text), text)
-        rows = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select(F.col(label).alias("label"), F.substring(text, 1, 2000).alias("text"))
+        rows = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select(F.col(label).alias("label"), F.col(text).alias("text"))
 
         def mean(key, pdf):
             return pd.DataFrame({"label": [key[0]], "mean": [np.mean([hashed_features(t) for t in pdf["text"]], axis=0).tolist()]})
@@ -92,15 +119,58 @@ class LanguageDetector:
         return out.withColumn("language", F.when(sure, F.col("_d.language"))).withColumn("confidence", F.when(sure, F.col("_d.confidence"))).drop("_d")
 
 
-#: Language -> encoder, and whether the text is romanised first.
-STRATEGY = {"en": "double_metaphone", "de": "cologne", "es": "soundex", "fr": "soundex", "it": "soundex", "nl": "soundex", "pl": "daitch_mokotoff", "ru": "daitch_mokotoff", "uk": "daitch_mokotoff", "pt": "soundex", "sv": "soundex", "no": "soundex", "id": "soundex", "tr": "soundex", "ja": "metaphone"}
+#: The encoder of a language or script, other choices, how firmly it is grounded, and whether romanisation comes first.
+_LATIN = ("double_metaphone", ("metaphone", "soundex"), "script", "not_needed")
+_ROMANISED = (*_LATIN[:3], "recommended")
+_NO_FIT = (None, (), "no_fit", "unsupported")
+_native = lambda tag: (f"beider_morse:{tag}", (), "script", "not_needed")
+_named = lambda tag: (f"beider_morse:{tag}", ("double_metaphone", "soundex"), "named", "not_needed")
+STRATEGY = {
+    "en": ("double_metaphone", ("metaphone", "soundex", "beider_morse:english"), "named", "not_needed"),
+    "de": ("cologne", ("daitch_mokotoff", "beider_morse:german", "double_metaphone"), "named", "not_needed"),
+    "pl": ("daitch_mokotoff", ("beider_morse:polish", "double_metaphone"), "named", "not_needed"),
+    "nl": _named("dutch"), "fr": _named("french"), "it": _named("italian"), "es": _named("spanish"), "pt": _named("portuguese"),
+    "ru": _native("cyrillic"), "uk": _native("cyrillic"), "fa": _native("arabic"),
+    "no": _LATIN, "sv": _LATIN, "fi": _LATIN, "gl": _LATIN, "ca": _LATIN, "eu": _LATIN, "id": _LATIN, "vi": _LATIN,
+    "ja": _ROMANISED, "hi": _NO_FIT, "zh": _NO_FIT,
+}
+SCRIPT_STRATEGY = {
+    "Latin": _LATIN, "Cyrillic": _native("cyrillic"), "Greek": _native("greek"), "Hebrew": _native("hebrew"), "Arabic": _native("arabic"),
+    "Hiragana": _ROMANISED, "Katakana": _ROMANISED, "Han": _NO_FIT, "Hangul": _NO_FIT, "Devanagari": _NO_FIT, "Other": _NO_FIT,
+}
+
+
+def _looked_up(key: Column, table: dict) -> Column:
+    none = F.array().cast("array<string>")
+    row = lambda v: F.struct(F.lit(v[0]).cast("string").alias("encoder"), (F.array(*map(F.lit, v[1])) if v[1] else none).alias("alternatives"), F.lit(v[2]).alias("basis"), F.lit(v[3]).alias("transliteration"))
+    return F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), row(v))]), key)
 
 
 def recommend(language: Column) -> Column:
-    """struct(encoder, romanise) for a language code; null where no encoder suits."""
-    table = F.create_map(*[F.lit(x) for k, v in STRATEGY.items() for x in (k, v)])
-    encoder = table[language]
-    return F.when(encoder.isNotNull(), F.struct(encoder.alias("encoder"), (language == "ja").alias("romanise")))
+    """struct(encoder, alternatives, basis, transliteration) for a language code; null for an unknown code."""
+    return _looked_up(language, STRATEGY)
+
+
+def recommend_for_script(script: Column) -> Column:
+    """The same for a script's name."""
+    return _looked_up(script, SCRIPT_STRATEGY)
+
+
+def apply_transliteration(advice: Column, text: Column) -> Column:
+    """Kana romanised where that is recommended; other texts as they are."""
+    return F.when(advice == "recommended", kana.transliterate(text)).otherwise(text)
+
+
+class AutoPhoneticStrategy:
+    """Detection, and a strategy only where its confidence reaches ``threshold``."""
+
+    def __init__(self, detector: LanguageDetector, threshold: float):
+        self.detector, self.threshold = detector, threshold
+
+    def detect_and_recommend(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """``docs`` with language, confidence and strategy (null below the threshold)."""
+        told = self.detector.detect(docs, text)
+        return told.withColumn("strategy", F.when(F.col("confidence") >= self.threshold, recommend(F.col("language"))))
 
 
 def first_detection(*detections: Column) -> Column:

@@ -42,6 +42,10 @@ class TfIdf:
         out.postings = self.postings.where(F.col("doc") != F.lit(doc))
         return out
 
+    def document(self, doc) -> DataFrame:
+        """(distinct_terms, total_terms) of one document."""
+        return self.documents.where(F.col("doc") == F.lit(doc)).select(F.size(F.array_distinct("terms")).cast("long").alias("distinct_terms"), F.size("terms").cast("long").alias("total_terms"))
+
     def size(self) -> DataFrame:
         return self.documents.agg(F.count("*").alias("n_docs"))
 
@@ -102,6 +106,17 @@ class Trie:
         out.keys = self.keys.unionByName(more.select(self.fold(F.col(column)).alias("key")).where("key is not null")).distinct()
         return out
 
+    def freeze(self, path: str) -> Trie:
+        """The keys as a sorted table on disk, read again: a prefix scan then prunes files and row groups by their key ranges."""
+        self.keys.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+        return Trie.open(self.keys.sparkSession, path, self.fold)
+
+    @classmethod
+    def open(cls, spark, path: str, fold=lambda c: c) -> Trie:
+        out = object.__new__(cls)
+        out.fold, out.keys = fold, spark.read.parquet(path)
+        return out
+
     def contains(self, words: DataFrame, column: str) -> DataFrame:
         known = self.keys.withColumn("found", F.lit(True))
         return words.withColumn("key", self.fold(F.col(column))).join(known, "key", "left").withColumn("found", F.coalesce("found", F.lit(False))).drop("key")
@@ -146,6 +161,31 @@ def _deletions(word: Column, k: int) -> Column:
     return out
 
 
+#: Edits up to which words meet by shared deletions.
+DELETIONS = 2
+
+
+class ReachError(ValueError):
+    """More edits were asked for than an index was built for."""
+
+
+class DeletionIndex:
+    """Words under their deletions, built for up to ``k`` edits; answers are verified by distance."""
+
+    def __init__(self, words: DataFrame, column: str, k: int):
+        self.k = k
+        self.rows = words.select(F.col(column).alias("word")).where("word is not null").distinct().select("word", F.explode(_deletions(F.col("word"), k)).alias("cut"))
+
+    def neighbours(self, queries: DataFrame, column: str, k: int | None = None) -> DataFrame:
+        """(query, word, distance) within ``k`` edits, the index's own by default."""
+        k = self.k if k is None else k
+        if k > self.k:
+            raise ReachError(f"the index reaches {self.k} edits, not {k}")
+        asked = queries.select(F.col(column).alias("query")).where(F.col(column).isNotNull()).distinct().select("query", F.explode(_deletions(F.col("query"), k)).alias("cut"))
+        met = asked.join(self.rows, "cut").select("query", "word").distinct()
+        return met.withColumn("distance", damerau_levenshtein(F.col("query"), F.col("word"))).where(F.col("distance") <= k)
+
+
 class Spellcheck:
     """A dictionary of word frequencies; corrections join on shared deletions and are verified by distance."""
 
@@ -160,19 +200,35 @@ class Spellcheck:
         """(cut, word): every string left by up to ``k`` deletions of a word."""
         return self.words.select("word", F.explode(_deletions(F.col("word"), k)).alias("cut"))
 
-    def neighbours(self, queries: DataFrame, column: str, k: int) -> DataFrame:
-        """(query, word) that may lie within ``k``: two words within k edits share a string of k deletions each."""
+    def candidates(self, queries: DataFrame, column: str, k: int) -> DataFrame:
+        """(query, word) that may lie within ``k``: two words within k edits share a string of k deletions each.
+
+        Beyond ``DELETIONS`` the strings are too many; words are then met by length, which k edits change by k at most.
+        """
+        if k > DELETIONS:
+            asked = queries.select(F.col(column).alias("query")).where(F.col(column).isNotNull()).distinct()
+            lengths = F.explode(F.sequence(F.greatest(F.length("query") - k, F.lit(0)), F.length("query") + k)).alias("_n")
+            return asked.select("query", lengths).join(self.words.select("word", F.length("word").alias("_n")), "_n").select("query", "word")
         asked = queries.select(F.col(column).alias("query")).where(F.col(column).isNotNull()).distinct()
         return asked.select("query", F.explode(_deletions(F.col("query"), k)).alias("cut")).join(self.deletion_index(k), "cut").select("query", "word").distinct()
 
+    def neighbours(self, queries: DataFrame, column: str, k: int) -> DataFrame:
+        """(query, word, distance) of all words within ``k`` Damerau-Levenshtein edits."""
+        return self.candidates(queries, column, k).withColumn("distance", damerau_levenshtein(F.col("query"), F.col("word"))).where(F.col("distance") <= k)
+
+    def correction_words(self, queries: DataFrame, column: str, k: int = 1) -> DataFrame:
+        """(query, words): the words of the corrections in their order; queries without one are left out."""
+        ranked = self.corrections(queries, column, k).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("rank", "word"))).alias("w"))
+        return ranked.select("query", F.transform("w", lambda x: x["word"]).alias("words"))
+
     def corrections(self, queries: DataFrame, column: str, k: int = 1) -> DataFrame:
         """(query, word, distance, frequency) of all words within ``k`` Damerau-Levenshtein edits, ranked."""
-        near = self.neighbours(queries, column, k).withColumn("distance", damerau_levenshtein(F.col("query"), F.col("word"))).where(F.col("distance") <= k)
+        near = self.neighbours(queries, column, k)
         order = Window.partitionBy("query").orderBy("distance", F.desc("frequency"), "word")
         return near.join(self.words, "word").withColumn("rank", F.row_number().over(order)).select("query", "word", "distance", "frequency", "rank")
 
     def best(self, queries: DataFrame, column: str, k: int = 1) -> DataFrame:
-        near = self.neighbours(queries, column, k).withColumn("distance", damerau_levenshtein(F.col("query"), F.col("word"))).where(F.col("distance") <= k)
+        near = self.neighbours(queries, column, k)
         first = near.join(self.words, "word").groupBy("query").agg(F.min(F.struct("distance", (-F.col("frequency")).alias("_f"), "word")).alias("b"))
         return first.select("query", F.col("b.word").alias("word"), F.col("b.distance").alias("distance"), (-F.col("b._f")).alias("frequency"))
 

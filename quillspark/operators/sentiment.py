@@ -5,6 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Names of the vocabulary families.
+KINDS = ("afinn", "afinn-financial-market-news", "senticon", "pattern")
+
+
+class UnsupportedPair(ValueError):
+    """No vocabulary of that kind was given for that language."""
+
+
+class UnknownName(ValueError):
+    """No vocabulary family has that name."""
+
+
+def kind_from_name(name: str) -> str:
+    """The family of exactly that name."""
+    if name not in KINDS:
+        raise UnknownName(name)
+    return name
+
+
+class SentimentAnalyzer:
+    """Scores for one language and vocabulary kind out of a table of lexicons (kind, language, form, polarity, ord).
+
+    Lexicons are data of their own projects and given as a table.  With a stemmer, entries are filed under the stems of
+    their words, the later one winning, and a token is looked up as it is, then by its stem.
+    """
+
+    def __init__(self, lexicons: DataFrame, language: str, kind: str, negations: frozenset[str] = frozenset(), stem=None):
+        self.language, self.kind, self.negations, self.stem = language, kind_from_name(kind), negations, stem
+        own = lexicons.where((F.col("language") == language) & (F.col("kind") == kind))
+        # a lexicon is bounded by its language; the driver holds one, as the workers do
+        rows = own.orderBy("ord").select(F.lower("form").alias("form"), "polarity").collect()
+        if not rows:
+            raise UnsupportedPair(f"{kind} for {language}")
+        key = lambda form: " ".join(map(stem, form.split())) if stem else form
+        self.entries = {key(r["form"]): float(r["polarity"]) for r in rows}
+
+    @staticmethod
+    def supported_pairs(lexicons: DataFrame) -> DataFrame:
+        return lexicons.select("kind", "language").distinct()
+
+    @staticmethod
+    def languages(lexicons: DataFrame, kind: str) -> DataFrame:
+        return lexicons.where(F.col("kind") == kind_from_name(kind)).select("language").distinct()
+
+    def score(self, tokens: Column) -> Column:
+        """struct(total, units, mean); mean is null where nothing was scored."""
+        return score_tokens(tokens, self.entries, self.negations, self.stem)
 
 
 def vocabulary(lexicon: DataFrame) -> DataFrame:
@@ -55,5 +102,3 @@ def score_tokens(tokens: Column, entries: dict[str, float], negations: frozenset
 
     each.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(each, "total double, units int, mean double")(tokens)
-
-

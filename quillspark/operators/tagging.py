@@ -21,7 +21,7 @@ def parse_brown(lines: DataFrame, key: str = "sent", text: str = "value") -> Dat
 
 def split_corpus(tagged: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Whole sentences, the first part with about ``percent`` of them, the same at every run."""
-    part = F.pmod(F.xxhash64("sent"), F.lit(100))
+    part = F.conv(F.substring(F.md5(F.col("sent").cast("string")), 1, 8), 16, 10).cast("long") % 100
     return tagged.where(part < percent), tagged.where(part >= percent)
 
 
@@ -113,6 +113,25 @@ class Rule:
         return test if self.source == "*" else (F.col("tag") == self.source) & test
 
 
+#: The ten transformations of E. Brill, A Simple Rule-Based Part of Speech Tagger (1992), over Brown tags.
+BRILL_1992 = (
+    "TO IN NEXT-TAG AT",
+    "VBN VBD PREV-WORD-IS-CAP YES",
+    "VBD VBN PREV-1-OR-2-OR-3-TAG HVD",
+    "VB NN PREV-1-OR-2-TAG AT",
+    "NN VB PREV-TAG TO",
+    "TO IN NEXT-WORD-IS-CAP YES",
+    "NN VB PREV-TAG MD",
+    "PPS PPO NEXT-TAG .",
+    "VBN VBD PREV-TAG PPS",
+    "NP NN CURRENT-WORD-IS-CAP NO",
+)
+
+
+def brill_1992() -> list[Rule]:
+    return [Rule.parse(line) for line in BRILL_1992]
+
+
 def apply_rules(tagged: DataFrame, rules: list[Rule]) -> DataFrame:
     """Each rule rewrites all its sites together, reading the tags as they stood before it; all share one partitioning."""
     for r in rules:
@@ -127,8 +146,32 @@ def evaluate(gold: DataFrame, lexicon: Lexicon, rules: list[Rule]) -> DataFrame:
     return apply_rules(before, rules).agg(F.avg((F.col("before") == F.col("gold")).cast("double")).alias("accuracy_before"), F.avg((F.col("tag") == F.col("gold")).cast("double")).alias("accuracy"))
 
 
-def _named(values: Column, name: str) -> Column:
-    return F.transform(values, lambda v: F.struct(F.lit(name).alias("name"), v.alias("value")))
+#: Shapes a learner may propose: one value near the site, or two values at two places (0 is the site itself).
+ONE_VALUE = {f"{side}-{reach}{what}": (what.lower().replace("word", "token"), tuple(sign * k for k in places)) for side, sign in (("PREV", -1), ("NEXT", 1)) for reach, places in (("", (1,)), ("2-", (2,)), ("1-OR-2-", (1, 2)), ("1-OR-2-OR-3-", (1, 2, 3))) for what in ("TAG", "WORD")} | {"CURRENT-WORD": ("token", (0,))}
+TWO_VALUES = {
+    "SURROUND-TAG": (("tag", -1), ("tag", 1)), "PREV-BIGRAM": (("tag", -2), ("tag", -1)), "NEXT-BIGRAM": (("tag", 1), ("tag", 2)),
+    "CURRENT-WORD-AND-PREV-TAG": (("token", 0), ("tag", -1)), "CURRENT-WORD-AND-NEXT-TAG": (("token", 0), ("tag", 1)),
+    "CURRENT-WORD-AND-PREV-WORD": (("token", 0), ("token", -1)), "CURRENT-WORD-AND-NEXT-WORD": (("token", 0), ("token", 1)),
+    "WDAND2BFR": (("token", -2), ("token", 0)), "WDAND2AFT": (("token", 0), ("token", 2)),
+}
+SHAPES = ("CURRENT-WORD-IS-CAP", "PREV-WORD-IS-CAP", "NEXT-WORD-IS-CAP", "CURRENT-WORD-IS-NUMBER", "CURRENT-WORD-IS-URL")
+TEMPLATES = (*ONE_VALUE, *TWO_VALUES, *SHAPES)
+
+
+def proposals(template: str) -> Column:
+    """array<struct(name, args)>: the conditions of a template that hold at a row of (sent, pos, token, tag)."""
+    at = lambda c, k: F.col(c) if k == 0 else F.lead(c, k).over(_sentence()) if k > 0 else F.lag(c, -k).over(_sentence())
+    if template in ONE_VALUE:
+        column, places = ONE_VALUE[template]
+        args = F.transform(F.array_distinct(F.array_compact(F.array(*(at(column, k) for k in places)))), lambda v: F.array(v))
+    elif template in TWO_VALUES:
+        first, second = (at(*x) for x in TWO_VALUES[template])
+        args = F.when(first.isNotNull() & second.isNotNull(), F.array(F.array(first, second))).otherwise(F.array().cast("array<array<string>>"))
+    elif template in SHAPES:
+        args = F.array(F.array(F.when(condition(template, "YES"), F.lit("YES")).otherwise(F.lit("NO"))))
+    else:
+        raise ValueError(f"unknown template {template}")
+    return F.transform(args, lambda v: F.struct(F.lit(template).alias("name"), v.alias("args")))
 
 
 def train_rules(gold: DataFrame, lexicon: Lexicon, templates=("PREV-TAG", "NEXT-TAG", "PREV-1-OR-2-TAG", "NEXT-1-OR-2-TAG", "PREV-WORD", "NEXT-WORD"), most: int = 10, least: int = 2) -> list[Rule]:
@@ -139,21 +182,14 @@ def train_rules(gold: DataFrame, lexicon: Lexicon, templates=("PREV-TAG", "NEXT-
     rules: list[Rule] = []
     while len(rules) < most:
         seen = state
-        options = []
-        for t in templates:
-            m = re.fullmatch(r"(PREV|NEXT)(?:-(1-OR-2))?-(TAG|WORD)", t)
-            column = "tag" if m[3] == "TAG" else "token"
-            move = F.lag if m[1] == "PREV" else F.lead
-            values = F.array_distinct(F.array_compact(F.array(*[move(column, k).over(_sentence()) for k in ((1, 2) if m[2] else (1,))])))
-            options.append(_named(values, t))
-        sites = seen.withColumn("_c", F.concat(*options)).select("tag", "gold", F.explode("_c").alias("c"))
+        sites = seen.withColumn("_c", F.concat(*map(proposals, templates))).select("tag", "gold", F.explode("_c").alias("c"))
         counts = sites.groupBy("tag", "c", "gold").agg(F.count("*").alias("n"))
         fixes = counts.where("tag <> gold").select("tag", "c", F.col("gold").alias("to"), F.col("n").alias("fixed"))
         breaks = counts.where("tag = gold").select("tag", "c", F.col("n").alias("broken"))
-        best = fixes.join(breaks, ["tag", "c"], "left").withColumn("score", F.col("fixed") - F.coalesce("broken", F.lit(0))).orderBy(F.desc("score"), "tag", "to", "c.name", "c.value").first()
+        best = fixes.join(breaks, ["tag", "c"], "left").withColumn("score", F.col("fixed") - F.coalesce("broken", F.lit(0))).orderBy(F.desc("score"), "tag", "to", "c.name", "c.args").first()
         if best is None or best["score"] < least:
             break
-        rules.append(Rule(best["tag"], best["to"], best["c"]["name"], (best["c"]["value"],)))
+        rules.append(Rule(best["tag"], best["to"], best["c"]["name"], tuple(best["c"]["args"])))
         state = checkpointed(apply_rules(state, rules[-1:]))
     return rules
 

@@ -43,3 +43,17 @@ def read_document(spark: SparkSession, path: str):
     from pyspark.sql import functions as F
 
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def dynamic(text):
+    """JSON text as a dynamic value (null, boolean, number, string, array or object); null where it is no JSON."""
+    from pyspark.sql import functions as F
+
+    return F.try_parse_json(text)
+
+
+def dynamic_field(value, path: str, kind: str):
+    """The value at a path such as ``$.a[0]``, cast to ``kind``; null where it is absent or of another kind."""
+    from pyspark.sql import functions as F
+
+    return F.try_variant_get(value, path, kind)
