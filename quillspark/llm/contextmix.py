@@ -1,26 +1,38 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is coded as units: the white space before a word, the word, and a
-terminator; the last unit ends in an end symbol.  The first byte of a unit only
-tells how the word before it ended and is not coded.  Every bit of every symbol is
-predicted by ``ORDERS`` contexts (0 to 4 symbols back, and the unit so far), whose
-exact counts come from all training texts.  Their stretched probabilities
-are mixed with weights gated by bit position and by how much the longest context
-has seen; the mix is refined by an adaptive probability map and squashed.
-Weights and map learn online, in blocks of units, each occurrence predicted as if
-it had not been counted itself; tasks learn apart and are averaged by evidence.
-The score is the log10 probability of all bits.
-
-As a unit's bits depend on the unit alone, units are gathered once: every slice of
+A text is coded token by token.  A token is a unit: the white space before a word
+and the word, behind a byte for the class of the symbol before it; the last unit
+ends in an end symbol.  First comes a flag: has this unit followed the unit before
+it in the training texts?  The flag is a bit predicted by four hashed contexts (the
+last three flags of the text, how often the unit before it occurs, and both
+together), mixed with gated weights and refined by an adaptive map.  All of these
+learn online, in the order of the text, and start anew with every text.  A known
+successor is then told among the successors of the unit before it, by exact counts
+over all training texts.
+
+Any other unit is spelled.  Every bit of its symbols is predicted by ``ORDERS``
+hashed contexts (0 to 4 symbols back, and the unit so far), whose exact counts come
+from all training texts.  Their stretched probabilities are mixed with weights
+gated by bit position and by how much the longest context has seen; the mix is
+refined by an adaptive probability map and squashed.  These weights and this map
+learn online over the units, each as often as it occurs, predicted as if one
+occurrence had not been counted; tasks learn apart and are averaged by evidence.
+The score is the log10 probability of all bits; a training text's own occurrence
+of a pair is not counted for it.
+
+Spelling depends on the unit alone, so units are gathered once: every slice of
 documents sends its distinct units to buckets of the word, where counts of words
-and units meet, are scored once, and are sent back.  Counts of contexts meet the
+and units meet, are spelled once, and are sent back.  Counts of contexts meet the
 same way: a bucket sends each distinct pair of context and symbol to the share of
-the context, and gets the counts along the symbol's bits back.  All that is
-gathered grows with the text; contexts are told apart by 56-bit fingerprints.
+the context, and gets the counts along the symbol's bits back.  Pairs of units meet
+by a hash of 40 bits in a share told by both units' buckets, so that neither a
+frequent unit nor its successors load one share.  All that is gathered grows with
+the text, and so do buckets; how the rows are dealt to partitions changes nothing.
 
 Edge cases: null and empty texts are an end alone; a null id counts as training
-text with the id ""; equal texts are scored alike; an empty table gives an empty
-result; without training text every count is 0; other columns are ignored.
+text with the id ""; equal texts in one fold are scored alike; texts of any length
+are one document; an empty table gives an empty result; without training text every
+count is 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +52,10 @@ from ._cluster import prepare, stage, table
 from ._words import _BYTE, Words, mixed, prefix_hash, range_hash, steps, text_buffers
 
 FOLDS, HELD = 5, 1
-#: Text of one slice; its distinct units travel together.
-SLICE_BYTES = 3 << 19
+#: Text of one slice; its distinct units and pairs of units travel together.
+SLICE_BYTES = 6 << 20
+#: Text for each bucket of units, and buckets at least.
+BUCKET_BYTES, BUCKETS = 32 << 20, 24
 #: Hashed slots of one order, for ``Bits`` without counted pairs.
 SLOTS = 1 << 20
 ORDERS = 6
@@ -52,6 +66,10 @@ BLOCK_UNITS = 512
 GATES = 8 * 4
 MAP_STEPS = 33
 RATE = 0.02
+#: Flags: tokens between two updates, pseudo-counts of a context, and the pace of weights and map.
+FLAG_BLOCK, FLAG_PRIOR, FLAG_RATE, FLAG_PACE = 32, 4.0, 0.02, 0.02
+FLAG_CONTEXTS = (8, 16, 32, 128)
+FLAG_STEPS = 17
 
 _END, _STOP = 0xFE, 0xFF
 _CLASS = np.full(256, 2, np.uint8)
@@ -73,12 +91,32 @@ def _unpack(data: bytes, n: int, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, n).T).reshape(-1).view(kind)
 
 
-_SLICE = "slice string, bucket int, n int, size long, data binary, counts binary, places binary, docs binary, held binary, tokens binary, missing binary"
-_SLICE_ARROW = pa.schema([("slice", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()), ("size", pa.int64()), *((k, pa.binary()) for k in ("data", "counts", "places", "docs", "held", "tokens", "missing"))])
+def unit_pairs(places: np.ndarray, first: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a unit and the one before it: places of both, their share, and the pair of every token.
+
+    ``places`` are the units of a slice's tokens, ``first`` the first token of each document, whose unit before is the
+    place behind all units, and ``cuts`` where the units of each bucket end.  Pairs are ascending by share.
+    """
+    none = int(cuts[-1])
+    before = np.empty(len(places), np.int64)
+    before[1:] = places[:-1]
+    before[first] = none
+    code, at = np.unique(before * (none + 1) + places, return_inverse=True)
+    old, new = code // (none + 1), code % (none + 1)
+    bucket = lambda x: np.searchsorted(cuts, x, "right")
+    share = (bucket(old) + bucket(new)) % len(cuts)
+    order = np.argsort(share, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return old[order], new[order], share[order], rank[at]
+
+
+_SLICE = "slice string, bucket int, n int, size long, data binary, counts binary, places binary, docs binary, held binary, tokens binary, missing binary, bytes binary"
+_SLICE_ARROW = pa.schema([("slice", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()), ("size", pa.int64()), *((k, pa.binary()) for k in ("data", "counts", "places", "docs", "held", "tokens", "missing", "bytes"))])
 
 
 def _slices(docs: DataFrame, buckets: int) -> DataFrame:
-    """Per slice: a row of its documents (bucket -1: ids, fold, tokens as places in the slice's units) and a row of distinct units per bucket."""
+    """Per slice: a row of its documents (bucket -1: ids, fold, bytes, tokens as places in the slice's units), of distinct units per bucket, and of pairs of units per share (bucket -2 - share)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, size=SLICE_BYTES):
@@ -115,8 +153,15 @@ def _slices(docs: DataFrame, buckets: int) -> DataFrame:
             units = [bytes((z,)) + whole[x:y] for x, y, z in zip(b, e, c)]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
             name, rows = uuid.uuid4().hex, []
+            old, new, share, pair = unit_pairs(place[inverse].astype(np.int64), first, np.array(cut[1:]))
+            own = np.append(key[at][order], np.uint64(0x5851F42D4C957F2D))
+            hashes = mixed(own[old] * np.uint64(0x9E3779B97F4A7C15) + own[new]) >> np.uint64(24)
+            times = np.bincount(pair[train], minlength=len(old)).astype(np.uint32)
+            for i, (a, b) in enumerate(zip(*(np.searchsorted(share, np.arange(buckets) + k).tolist() for k in (0, 1)))):
+                if b > a:
+                    rows.append({"slice": name, "bucket": -2 - i, "n": b - a, "data": _pack(hashes[a:b]), "counts": _pack(times[a:b])})
             tokens = np.diff(np.append(first, len(end))).astype(np.uint32)
-            rows.append({"slice": name, "bucket": -1, "n": k, "size": len(end), "places": _pack(place[inverse]), "docs": _pack(numbers), "held": _pack(held.astype(np.uint8)), "tokens": _pack(tokens), "missing": _pack(missing.astype(np.uint8))})
+            rows.append({"slice": name, "bucket": -1, "n": k, "size": len(end), "places": _pack(place[inverse]), "docs": _pack(numbers), "held": _pack(held.astype(np.uint8)), "tokens": _pack(tokens), "missing": _pack(missing.astype(np.uint8)), "bytes": _pack(np.diff(w.off).astype(np.uint32))})
             for i in range(buckets):
                 if cut[i + 1] > cut[i]:
                     joined = b"\xff".join(units[cut[i] : cut[i + 1]])
@@ -132,27 +177,41 @@ _BUCKET_ARROW = pa.schema([("bucket", pa.int32()), ("slice", pa.string()), ("n",
 
 def _meet(t):
     """One bucket: distinct units with their training counts and those of their words, and per slice where its units are."""
-    index: dict[bytes, int] = {}
-    tf: list[np.ndarray] = []
-    where, rows = [], []
-    bucket = t.column("bucket")[0].as_py()
+    sent = []
     for name, n, size, data, counts in zip(*(t.column(k).to_pylist() for k in ("slice", "n", "size", "data", "counts"))):
-        units = pa.decompress(data, size, codec="zstd", asbytes=True).split(b"\xff")
-        places = np.fromiter((index.setdefault(u, len(index)) for u in units), np.uint32, n)
-        where.append((name, places))
-        tf.append(_unpack(counts, n, np.uint32))
-    total = np.zeros(len(index), np.int64)
-    for (_, places), counts in zip(where, tf):
+        sent.append((name, pa.decompress(data, size, codec="zstd", asbytes=True).split(b"\xff"), _unpack(counts, n, np.uint32)))
+    # in the order of a hash, whatever slices they came in
+    known = sorted({u for _, units, _ in sent for u in units}, key=lambda u: (zlib.crc32(u), u))
+    index = {u: i for i, u in enumerate(known)}
+    where, total = [], np.zeros(len(known), np.int64)
+    for name, units, counts in sent:
+        places = np.fromiter((index[u] for u in units), np.uint32, len(units))
         total[places] += counts  # units of a slice are distinct
+        where.append((name, places))
     words: dict[bytes, int] = {}
-    of = np.fromiter((words.setdefault(u[1:].lstrip(b" \t\n\r\x0b\x0c").lower(), len(words)) for u in index), np.int64, len(index))
+    of = np.fromiter((words.setdefault(u[1:].lstrip(b" \t\n\r\x0b\x0c").lower(), len(words)) for u in known), np.int64, len(known))
     c = np.bincount(of, weights=total, minlength=len(words)).astype(np.int64)
-    joined = b"\xff".join(index)
-    rows.append({"bucket": bucket, "n": len(index), "size": len(joined), "units": pa.compress(joined, codec="zstd", asbytes=True), "tf": _pack(total), "c": _pack(c[of]), "words": int((c > 0).sum()), "total": int(total.sum())})
+    joined, bucket = b"\xff".join(known), t.column("bucket")[0].as_py()
+    rows = [{"bucket": bucket, "n": len(known), "size": len(joined), "units": pa.compress(joined, codec="zstd", asbytes=True), "tf": _pack(total), "c": _pack(c[of]), "words": int((c > 0).sum()), "total": int(total.sum())}]
     rows += [{"bucket": bucket, "slice": name, "n": len(places), "places": _pack(places)} for name, places in where]
     return pa.Table.from_pylist(rows, schema=_BUCKET_ARROW)
 
 
+_PAIRED = "slice string, share int, n int, pairs binary"
+_PAIRED_ARROW = pa.schema([("slice", pa.string()), ("share", pa.int32()), ("n", pa.int32()), ("pairs", pa.binary()), ("again", pa.int64()), ("seen", pa.int64())])
+
+
+def _meet_pairs(t):
+    """One share: how often each pair that a slice asked for occurs in all training texts."""
+    asked = [(name, _unpack(p, n, np.uint64), _unpack(c, n, np.uint32).astype(np.int64)) for name, n, p, c in zip(*(t.column(k).to_pylist() for k in ("slice", "n", "data", "counts")))]
+    pairs, counts = _summed(np.concatenate([p for _, p, _ in asked]), np.concatenate([c for _, _, c in asked]))
+    share = -2 - t.column("bucket")[0].as_py()
+    rows = [{"slice": name, "share": share, "n": len(p), "pairs": _pack(counts[np.searchsorted(pairs, p)])} for name, p, _ in asked]
+    # tokens whose pair occurs again, and all tokens, once a share
+    rows[0] |= {"again": int(counts[counts > 1].sum()), "seen": int(counts.sum())}
+    return pa.Table.from_pylist(rows, schema=_PAIRED_ARROW)
+
+
 # --- the model
 
 
@@ -243,7 +302,7 @@ def _as_tables(along: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Counts of clear and set bits by slot of ``Bits``, the same array for every order."""
     bit = ((pairs[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(bool)
     same, other = along[:, 1:], along[:, :-1] - along[:, 1:]
-    both = np.stack([np.where(bit, other, same), np.where(bit, same, other)]).astype(np.float32).reshape(2, -1)
+    both = np.stack([np.where(bit, other, same), np.where(bit, same, other)]).astype(np.float64).reshape(2, -1)
     return np.broadcast_to(both, (ORDERS, *both.shape))
 
 
@@ -259,7 +318,7 @@ class Mixer:
     """Gated weights and an adaptive map over the predictions of the counts."""
 
     def __init__(self, tables: np.ndarray, weights: np.ndarray | None = None, refined: np.ndarray | None = None):
-        self.tables = tables  # float32 (ORDERS, 2, slots)
+        self.tables = tables  # (ORDERS, 2, slots)
         self.weights = self.start_weights() if weights is None else weights
         self.refined = self.start_map() if refined is None else refined
 
@@ -275,7 +334,7 @@ class Mixer:
         """Stretched predictions (orders, bits), and the gate of each bit."""
         shape = b.bit.size
         bit = b.bit.reshape(-1)
-        x = np.empty((ORDERS, shape), np.float32)
+        x = np.empty((ORDERS, shape))
         seen = None
         for k in range(ORDERS):
             slot = b.slots[k].reshape(-1)
@@ -300,9 +359,9 @@ class Mixer:
         return p, np.clip(0.5 * p + 0.5 * fine, 1e-6, 1 - 1e-6), low, part
 
     def learn(self, b: Bits, times: np.ndarray, rate: float) -> None:
-        own = np.repeat((times[b.unit] > 0).astype(np.float32), 8)
+        own = np.repeat((times[b.unit] > 0).astype(float), 8)
         x, gate = self.inputs(b, own)
-        bit, weight = b.bit.reshape(-1), np.repeat(np.minimum(times[b.unit], 32.0), 8)
+        bit, weight = b.bit.reshape(-1), np.repeat(times[b.unit], 8)
         p, _, low, part = self.predict(x, gate)
         error = (bit - p) * weight
         total = np.bincount(gate, weights=weight, minlength=GATES)
@@ -327,6 +386,55 @@ class Mixer:
         return out
 
 
+def flag_costs(flags: np.ndarray, level: np.ndarray, first: np.ndarray, rate: float) -> np.ndarray:
+    """Natural-log probability of every flag; documents start at ``first`` and learn apart, all in step, block by block.
+
+    ``level`` (0 to 15) tells how frequent the unit before is, ``rate`` the share of set flags in all training texts.
+    """
+    n, k = len(flags), len(FLAG_CONTEXTS)
+    out, flag = np.zeros(n), flags.astype(np.int64)
+    ends = np.append(first[1:], n)
+    old = np.zeros((3, n), np.int64)
+    for back in (1, 2, 3):
+        old[back - 1, back:] = flag[:-back] if n > back else []
+        for i in range(back):
+            old[back - 1, np.minimum(first + i, ends - 1)] = 0
+    last, history = old[0], old[0] + 2 * old[1] + 4 * old[2]
+    context = np.stack([history, level, level * 2 + last, history * 16 + level])
+    by_size = np.argsort(-(ends - first), kind="stable")
+    begin, sizes = first[by_size], (ends - first)[by_size]
+    m = len(begin)
+    counts = [np.stack([np.full((m, size), FLAG_PRIOR * (1 - rate)), np.full((m, size), FLAG_PRIOR * rate)]) for size in FLAG_CONTEXTS]
+    weights, refined = np.full((m, 2, k), 1.25 / k), np.tile(_squash(np.linspace(-8, 8, FLAG_STEPS)), (m, 2, 1))
+    for at in range(0, int(sizes[0]) if m else 0, FLAG_BLOCK):
+        live = int(np.searchsorted(-sizes, -at, "left"))
+        spot = begin[:live, None] + at + np.arange(FLAG_BLOCK)
+        real = at + np.arange(FLAG_BLOCK) < sizes[:live, None]
+        spot = np.where(real, spot, begin[:live, None])
+        row = np.arange(live)[:, None]
+        y, c, gate = flag[spot], context[:, spot], last[spot]
+        x = np.stack([np.log(counts[i][1][row, c[i]] / counts[i][0][row, c[i]]) for i in range(k)], axis=-1)
+        t = np.clip((x * weights[row, gate]).sum(axis=-1), -7.999, 7.999)
+        p = _squash(t)
+        place = (t + 8) * ((FLAG_STEPS - 1) / 16)
+        low = place.astype(np.int64)
+        part = place - low
+        fine = refined[row, gate, low] * (1 - part) + refined[row, gate, low + 1] * part
+        final = np.clip(0.5 * p + 0.5 * fine, 1e-6, 1 - 1e-6)
+        out[spot[real]] = np.log(np.where(y == 1, final, 1 - final))[real]
+        error = np.where(real, y - p, 0.0)
+        for g in (0, 1):
+            weights[:live, g] += FLAG_RATE * (np.where(gate == g, error, 0.0)[..., None] * x).sum(axis=1)
+        for i in range(k):
+            np.add.at(counts[i], (y[real], np.broadcast_to(row, y.shape)[real], c[i][real]), 1.0)
+        cell = (np.broadcast_to(row, y.shape)[real], gate[real], (low + (part > 0.5))[real])
+        hits, ones = np.zeros(refined[:live].shape), np.zeros(refined[:live].shape)
+        np.add.at(hits, cell, 1.0)
+        np.add.at(ones, cell, y[real])
+        refined[:live] += np.where(hits > 0, 1 - (1 - FLAG_PACE) ** hits, 0) * (ones / np.maximum(hits, 1) - refined[:live])
+    return out
+
+
 def _listed(row_units: bytes, size: int) -> list[bytes]:
     return pa.decompress(row_units, size, codec="zstd", asbytes=True).split(b"\xff")
 
@@ -381,7 +489,7 @@ def _fit_mixer(vocabulary: DataFrame, counted: DataFrame, tasks: int) -> tuple[n
     """Weights and map: learned online by each task over all its training units, averaged by their number."""
 
     def learn(t):
-        mixer, seen = Mixer(np.zeros((ORDERS, 2, 0), np.float32)), 0
+        mixer, seen = Mixer(np.zeros((ORDERS, 2, 0))), 0
         by_bucket: dict[int, list[dict]] = {}
         for row in t.to_pylist():
             by_bucket.setdefault(row["bucket"], []).append(row)
@@ -408,20 +516,22 @@ def _fit_mixer(vocabulary: DataFrame, counted: DataFrame, tasks: int) -> tuple[n
     return mean[: GATES * ORDERS].reshape(GATES, ORDERS), mean[GATES * ORDERS :].reshape(GATES, MAP_STEPS)
 
 
-_REPLY = "slice string, bucket int, c binary, logp binary, n int"
+_REPLY = "slice string, bucket int, c binary, tf binary, logp binary, n int"
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs``."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte (null without bytes) for every row of ``docs``."""
     spark = docs.sparkSession
     prepare(spark)
-    # input splits have a bounded size, so buckets do too
-    buckets = max(24, docs.rdd.getNumPartitions())
+    buckets = max(BUCKETS, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
     slices = stage(_slices(docs, buckets), "mix-slices")
     met = stage(slices.where("bucket >= 0").select("bucket", "slice", "n", "size", "data", "counts").groupBy("bucket").applyInArrow(_meet, _BUCKET), "mix-buckets")
     vocabulary = met.where("slice is null")
     words, total = (int(x or 0) for x in vocabulary.agg(F.sum("words"), F.sum("total")).first())
     tasks = max(TASKS, buckets // TASK_BUCKETS)
+    paired = stage(slices.where("bucket < -1").select("slice", "bucket", "n", "data", "counts").groupBy("bucket").applyInArrow(_meet_pairs, _PAIRED + ", again long, seen long"), "mix-pairs")
+    again, seen = (int(x or 0) for x in paired.agg(F.sum("again"), F.sum("seen")).first())
+    rate = (again + 0.5) / (seen + 1)
     counted = _count_contexts(vocabulary, buckets)
     weights, refined = _fit_mixer(vocabulary, counted, tasks)
 
@@ -430,38 +540,53 @@ def score_texts(docs: DataFrame) -> DataFrame:
         told = t.filter(counts).select(["share", "n", "along"]).to_pylist()
         t = t.filter(pc.invert(counts))
         own = t.filter(pc.is_null(t.column("slice"))).to_pylist()[0]
-        c, units = _unpack(own["c"], own["n"], np.int64), _listed(own["units"], own["size"])
-        pairs, tables = _counted(told, units, _unpack(own["tf"], own["n"], np.int64))
+        c, tf, units = _unpack(own["c"], own["n"], np.int64), _unpack(own["tf"], own["n"], np.int64), _listed(own["units"], own["size"])
+        pairs, tables = _counted(told, units, tf)
         logp = Mixer(tables, weights, refined).score(units, pairs).astype(np.float64)
         rows = []
         for name, n, places in zip(*(t.column(k).to_pylist() for k in ("slice", "n", "places"))):
             if name is not None:
                 at = _unpack(places, n, np.uint32)
-                rows.append({"slice": name, "bucket": own["bucket"], "c": _pack(c[at]), "logp": logp[at].astype(np.float32).tobytes(), "n": n})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("slice", pa.string()), ("bucket", pa.int32()), ("c", pa.binary()), ("logp", pa.binary()), ("n", pa.int32())]))
+                rows.append({"slice": name, "bucket": own["bucket"], "c": _pack(c[at]), "tf": _pack(tf[at]), "logp": logp[at].astype(np.float32).tobytes(), "n": n})
+        return pa.Table.from_pylist(rows, schema=pa.schema([("slice", pa.string()), ("bucket", pa.int32()), *((k, pa.binary()) for k in ("c", "tf", "logp")), ("n", pa.int32())]))
 
     replies = _beside(met, counted).groupBy("bucket").applyInArrow(reply, _REPLY)
-    told = slices.where("bucket = -1").select("slice", "bucket", "n", "size", "places", "docs", "held", "tokens", "missing")
-    empty = lambda k: F.lit(None).cast("binary").alias(k)
-    both = told.select("*", empty("c"), empty("logp")).unionByName(replies.select("slice", "bucket", "n", F.lit(None).cast("long").alias("size"), *(empty(k) for k in ("places", "docs", "held", "tokens", "missing")), "c", "logp"))
+    told = slices.where("bucket = -1").select("slice", "bucket", "n", "size", "places", "docs", "held", "tokens", "missing", "bytes")
+    both = told.unionByName(replies, allowMissingColumns=True).unionByName(paired.select("slice", (-2 - F.col("share")).alias("bucket"), "n", "pairs"), allowMissingColumns=True)
 
     def finish(t):
         rows = sorted(t.to_pylist(), key=lambda r: r["bucket"])
-        own = rows[0]
-        c = np.concatenate([_unpack(r["c"], r["n"], np.int64) for r in rows[1:]])
-        logp = np.concatenate([np.frombuffer(r["logp"], np.float32) for r in rows[1:]]).astype(float)
-        places = _unpack(own["places"], own["size"], np.uint32)
+        own = next(r for r in rows if r["bucket"] == -1)
+        units, pairs = [r for r in rows if r["bucket"] >= 0], [r for r in reversed(rows) if r["bucket"] < -1]
+        c, tf = (np.concatenate([_unpack(r[k], r["n"], np.int64) for r in units]) for k in ("c", "tf"))
+        logp = np.concatenate([np.frombuffer(r["logp"], np.float32) for r in units]).astype(float)
+        sizes = np.zeros(buckets, np.int64)
+        sizes[[r["bucket"] for r in units]] = [r["n"] for r in units]
+        places = _unpack(own["places"], own["size"], np.uint32).astype(np.int64)
         tokens = _unpack(own["tokens"], own["n"], np.uint32).astype(np.int64)
         missing = _unpack(own["missing"], own["n"], np.uint8).astype(bool)
+        held = _unpack(own["held"], own["n"], np.uint8).astype(bool)
         first = np.cumsum(tokens) - tokens
         base = np.log10((c + 0.5) / (total + 0.5 * (words + 1)))
-        sums = lambda x: np.add.reduceat(x[places], first)  # noqa: E731  every document has its end
+        sums = lambda x: np.add.reduceat(x, first)  # noqa: E731  every document has its end
+        # how often the pair and the unit before occur in training texts, the token's own occurrence left out
+        old, _, _, pair = unit_pairs(places, first, np.cumsum(sizes))
+        mine = np.repeat(~held, tokens).astype(np.int64)
+        met = np.maximum(np.concatenate([_unpack(r["pairs"], r["n"], np.int64) for r in pairs])[pair] - mine, 0)
+        ends = c[places[first + tokens - 1]]  # as many texts are trained on as ends
+        before = np.append(tf, 0)[old][pair]
+        before[first] = ends
+        before = np.maximum(before - mine, met)
+        cost = flag_costs(met > 0, np.minimum(np.log2(before + 1.0).astype(np.int64), 15), first, rate)
+        cost += np.where(met > 0, np.log(np.maximum(met, 1) / np.maximum(before, 1)), logp[places])
+        score, size = sums(cost) / math.log(10), _unpack(own["bytes"], own["n"], np.uint32)
         return pa.table({
-            "doc_id": pa.array(_unpack(own["docs"], own["n"], np.int64), mask=missing), "held_out": pa.array(_unpack(own["held"], own["n"], np.uint8).astype(bool)), "n_tokens": pa.array(tokens),
-            "n_known": pa.array(sums((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(len(tokens), total)), "base_score": pa.array(sums(base)), "score": pa.array(sums(logp) / math.log(10)),
+            "doc_id": pa.array(_unpack(own["docs"], own["n"], np.int64), mask=missing), "held_out": pa.array(held), "n_tokens": pa.array(tokens),
+            "n_known": pa.array(sums((c > 0).astype(np.int64)[places])), "train_tokens": pa.array(np.full(len(tokens), total)), "base_score": pa.array(sums(base[places])), "score": pa.array(score),
+            "bits_per_byte": pa.array(-score / math.log10(2) / np.maximum(size, 1), mask=size == 0),
         })
 
-    return both.groupBy("slice").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.groupBy("slice").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
