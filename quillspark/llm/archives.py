@@ -1,8 +1,9 @@
 """WARC archives: written as Spark text parts, read back by boundary-chain verification.
 
 Writing: pages are keyed by the SHA-1 of their payload; the smallest page_id of
-equal payloads is the response, the others are revisits without payload.  A part
-file is records of header block, payload and the blank lines that end a record.
+equal payloads is the response, the others are revisits without payload, which name
+the response's page and address.  Every record has an id of its own.  A part file is
+records of header block, payload and the blank lines that end a record.
 
 Reading: every split yields a candidate at each version line, be it a record or
 bytes inside a payload, with the offset of its successor as its own header
@@ -13,10 +14,10 @@ payload is never reached.  A payload that holds magic spans several pieces; the
 task joins those inside its split, and a second scan joins the few that cross.
 
 Edge cases: null html is an empty payload; a null url is written as an empty
-target; repeated rows with one page_id are records of their own (the first by
-digest order responds); an empty table gives an empty result; columns other
-than page_id, url and html are ignored; any payload bytes, also version lines,
-come back unchanged.
+target; repeated rows with one page_id are records of their own, and those with the
+smallest page_id of their payload all respond; a null page_id responds; an empty
+table gives an empty result; columns other than page_id, url and html are ignored;
+any payload bytes, also version lines, come back unchanged, however long.
 """
 
 from __future__ import annotations
@@ -30,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._blocks import bits_of, perhaps
 from ._cluster import fresh_path, prepare, stage, table
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
-#: Revisit rows beyond which the write joins by shuffle instead of broadcast.
-BROADCAST_ROWS = 200_000
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+DATE = "1970-01-01T00:00:00Z"
 #: Payloads smaller than this are never revisits.
 LEAST_PAYLOAD = 0
 #: Records in a part file at most.
@@ -43,17 +45,17 @@ FILE_RECORDS = 50_000
 
 
 def with_roles(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
-    """page_id, url, html with _digest (hex SHA-1), _bytes and _refers (null for responses)."""
+    """page_id, url, html with _digest (hex SHA-1), _bytes, and _refers and _address of the response (null for responses)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", "html", F.sha1(payload).alias("_digest"), F.octet_length(payload).cast("long").alias("_bytes"))
-    # only digests, never payloads, are shuffled
-    groups = stage(
-        keyed.where(F.col("_bytes") >= least).groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_digest", "_first"),
-        "warc-groups",
-    )
-    small = groups.count() <= BROADCAST_ROWS
-    joined = keyed.join(F.broadcast(groups) if small else groups, "_digest", "left")
-    return joined.withColumn("_refers", F.when((F.col("_bytes") >= least) & (F.col("page_id") != F.col("_first")), F.col("_first"))).drop("_first")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("_first")
+    # only digests and addresses are grouped, and only pages whose payload may occur again are shuffled
+    groups = stage(keyed.where(F.col("_bytes") >= least).groupBy("_digest").agg(first, F.count("*").alias("_n")).where("_n > 1").select("_digest", "_first"), "warc-groups")
+    told = perhaps(keyed, "_digest", bits_of(groups, "_digest"))
+    again = told.where("_maybe").join(groups.hint("merge"), "_digest", "left")
+    revisit = (F.col("_bytes") >= least) & (F.col("page_id") != F.col("_first.page_id"))
+    again = again.select(*keyed.columns, F.when(revisit, F.col("_first.page_id")).alias("_refers"), F.when(revisit, F.col("_first.url")).alias("_address"))
+    return told.where("not _maybe").select(*keyed.columns).unionByName(again, allowMissingColumns=True)
 
 
 def _hex_to_base32(digest: F.Column) -> F.Column:
@@ -72,19 +74,20 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD) -> None:
     revisit = F.col("_refers").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.coalesce(F.col("html"), F.lit("")))
     clean = lambda c: F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\r\n]", " ")
-    hexa = F.col("_digest")
+    # a record's id is its own, also among repeated rows
+    hexa = F.md5(F.concat_ws("|", F.col("page_id"), F.col("_digest"), F.col("url"), F.monotonically_increasing_id()))
     uuid = F.concat_ws("-", *(F.substring(hexa, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     header = F.concat(
         F.lit(MAGIC),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))),
-        line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
+        line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", clean(F.col("url"))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), _hex_to_base32(hexa))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), _hex_to_base32(F.col("_digest")))),
         line("X-Page-ID", clean(F.col("page_id"))),
         line("X-Payload-Length", F.col("_bytes").cast("string")),
-        F.when(revisit, line("X-Refers-To-Page-ID", F.col("_refers").cast("string"))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To-Target-URI", clean(F.col("_address"))), line("WARC-Refers-To-Date", F.lit(DATE)), line("X-Refers-To-Page-ID", F.col("_refers").cast("string")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"),
@@ -253,9 +256,12 @@ def _crossing(spark: SparkSession, path: str, rest: DataFrame, splits: DataFrame
                 at += len(magic) + len(piece)
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(begin, pa.int64()), pa.array(data, pa.binary())], names=["file", "block", "begin", "data"])
 
-    pieces = raw.mapInArrow(place, "file string, block long, begin long, data binary").join(splits, ["file", "block"]).select("file", (F.col("begin") + F.col("base")).alias("begin"), "data")
+    pieces = raw.mapInArrow(place, "file string, block long, begin long, data binary").join(splits, ["file", "block"]).select("file", "block", (F.col("begin") + F.col("base")).alias("begin"), "data")
     wanted = rest.join(splits, ["file", "block"]).select(*(F.col(c) for c in columns), (F.col("next") + F.col("base") - 4 - F.col("size")).alias("from"), (F.col("next") + F.col("base") - 4).alias("to"))
-    pairs = wanted.join(pieces, "file").where((F.col("begin") < F.col("to")) & (F.col("begin") + F.octet_length("data") > F.col("from")))
+    # a crossing record is sent to the splits it lies in, of which few records cross any one
+    over = splits.select("file", F.col("block").alias("_split"), F.col("base").alias("_base"), "length")
+    sent = wanted.join(over, "file").where((F.col("_base") < F.col("to")) & (F.col("_base") + F.col("length") > F.col("from"))).drop("_base", "length")
+    pairs = sent.join(pieces.withColumnRenamed("block", "_split"), ["file", "_split"]).where((F.col("begin") < F.col("to")) & (F.col("begin") + F.octet_length("data") > F.col("from")))
     cut = F.expr("substring(data, cast(greatest(`from` - begin, 0) + 1 as int), cast(least(`to` - begin, octet_length(data)) - greatest(`from` - begin, 0) as int))")
     # the key is the record, so a group is one payload
     joined = pairs.withColumn("data", cut).groupBy("file", "block", "at").agg(F.sort_array(F.collect_list(F.struct("begin", "data"))).alias("cuts"))

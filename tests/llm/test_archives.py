@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -55,6 +56,17 @@ def test_round_trip_over_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_every_record_has_an_id_and_revisits_name_their_response(spark, tmp_path):
+    pages = [(4, "http://b", "same"), (2, "http://a", "same"), (2, "http://a", "same"), (9, "http://c", "same"), (7, "http://d", "other")]
+    where = str(tmp_path / "out")
+    archives.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), where)
+    records = [r["value"] for r in spark.read.text(where, wholetext=True).collect()]
+    told = "".join(records)
+    ids = re.findall("WARC-Record-ID: (.*)\r\n", told)
+    assert len(ids) == len(set(ids)) == 5 and told.count("WARC-Type: revisit") == 2
+    assert told.count("WARC-Refers-To-Target-URI: http://a\r\n") == told.count(f"WARC-Profile: {archives.PROFILE}\r\n") == told.count("WARC-Refers-To-Date: ") == 2
+
+
 def test_empty_table(spark, tmp_path):
     assert round_trip(spark, tmp_path, [], "128m") == []
 
