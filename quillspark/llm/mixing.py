@@ -8,9 +8,10 @@ budget cuts there.  A hot source is spread over its buckets, so no task sees
 all of it.
 
 Edge cases: a null or blank text has size 0 and takes 0; a null source is a
-source of its own, last in order; an empty table gives an empty result; repeated
-rows are separate rows (ties in the key are broken by id and size, and rows that
-still tie are alike); other columns are ignored.
+source of its own, last in order; a null id is no key, the text is one then; an empty
+table gives an empty result; repeated rows are separate rows (ties in the key are
+broken by id and size, and rows that still tie are alike); texts of any length are
+counted whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of ``docs``."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    # a row without an id is keyed by its text, so that such rows do not meet in one bucket
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary"))
     rows = stage(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -97,7 +100,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+         md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM s),
 w AS (SELECT *, CASE rk % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 3 * source_size AS cap FROM r),
