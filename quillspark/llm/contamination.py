@@ -11,7 +11,9 @@ larger benchmark makes more passes over the rows, each adding to the hits.
 
 Edge cases: a null or wordless text has 0 words and no hit; a null or wordless
 item has no window; items with a null id are left out; equal ids count once;
-an empty benchmark marks nothing; repeated rows are reported each.
+an empty benchmark marks nothing; repeated rows are reported each; an empty table
+gives an empty result; texts of any length are searched whole; other columns are
+ignored (``contamination``) or kept, whatever their names (``clean_of``).
 """
 
 from __future__ import annotations
@@ -90,16 +92,23 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_ADDED = "__dc_words long, __dc_spans array<long>, __dc_items array<string>"
+def _prefix(docs: DataFrame) -> str:
+    """Begins the names of the columns that ``annotate`` adds, and of no other."""
+    out = "dc_"
+    while any(c.lower().startswith(out) for c in docs.columns):
+        out = f"_{out}"
+    return out
+
 
+def _pass(rows: DataFrame, patterns, first: bool, prefix: str) -> DataFrame:
+    added = {"words": pa.int64(), "spans": pa.list_(pa.int64()), "items": pa.list_(pa.string())}
 
-def _pass(rows: DataFrame, patterns, first: bool) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = patterns.value.search
         for batch in batches:
             n = batch.num_rows
-            old_spans = [[]] * n if first else batch.column("__dc_spans").to_pylist()
-            old_items = [[]] * n if first else batch.column("__dc_items").to_pylist()
+            old_spans = [[]] * n if first else batch.column(f"{prefix}spans").to_pylist()
+            old_items = [[]] * n if first else batch.column(f"{prefix}items").to_pylist()
             counts, all_spans, all_items = [], [], []
             for text, spans, items in zip(batch.column("text"), old_spans, old_items):
                 words = words_of(text.as_py())
@@ -107,27 +116,27 @@ def _pass(rows: DataFrame, patterns, first: bool) -> DataFrame:
                 counts.append(len(words))
                 all_spans.append([x for s in _union(found + list(zip(spans[::2], spans[1::2]))) for x in s])
                 all_items.append(sorted(ids | set(items)))
-            kept = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if not f.name.startswith("__dc_")]
-            new = [("__dc_words", pa.array(counts, pa.int64())), ("__dc_spans", pa.array(all_spans, pa.list_(pa.int64()))), ("__dc_items", pa.array(all_items, pa.list_(pa.string())))]
+            kept = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if not f.name.startswith(prefix)]
+            new = [(prefix + k, pa.array(x, kind)) for (k, kind), x in zip(added.items(), (counts, all_spans, all_items))]
             yield pa.RecordBatch.from_arrays([a for _, a in kept + new], names=[k for k, _ in kept + new])
 
-    plain = [f for f in rows.schema.fields if not f.name.startswith("__dc_")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain), _ADDED])
+    plain = [f for f in rows.schema.fields if not f.name.startswith(prefix)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain), f"{prefix}words long, {prefix}spans array<long>, {prefix}items array<string>"])
     return rows.mapInArrow(scan, schema)
 
 
 def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with __dc_words, __dc_spans (flat starts and ends, in words) and __dc_items."""
-    spark = docs.sparkSession
+    """``docs`` with dc_words, dc_spans (flat starts and ends, in words) and dc_items, behind what ``_prefix`` tells."""
+    spark, prefix = docs.sparkSession, _prefix(docs)
     prepare(spark)
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    total, most = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-    blocks = max(1, -(-2 * (total or 0) // block_bytes)) if (total or 0) > block_bytes else 1
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
     rows = docs
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         patterns = spark.sparkContext.broadcast(Patterns([tuple(r) for r in part.toLocalIterator()], window))
-        rows = _pass(rows, patterns, k == 0)
+        rows = _pass(rows, patterns, k == 0, prefix)
         if k % 4 == 3 and k + 1 < blocks:
             rows = stage(rows, "decontaminate")
     return rows
@@ -135,14 +144,14 @@ def annotate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_byte
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_items: int = 2) -> DataFrame:
     rows = annotate(docs.select("doc_id", "text"), items, window)
-    halves = F.aggregate(F.sequence(F.lit(0), F.size("__dc_spans") - 2, F.lit(2)), F.lit(0).cast("long"), lambda acc, i: acc + F.get("__dc_spans", i + 1) - F.get("__dc_spans", i))
+    halves = F.aggregate(F.sequence(F.lit(0), F.size("dc_spans") - 2, F.lit(2)), F.lit(0).cast("long"), lambda acc, i: acc + F.get("dc_spans", i + 1) - F.get("dc_spans", i))
     return rows.select(
         "doc_id",
-        F.col("__dc_words").alias("n_words"),
-        F.when(F.size("__dc_spans") > 0, halves).otherwise(F.lit(0).cast("long")).alias("n_hit"),
-        F.size("__dc_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__dc_items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("__dc_items") >= least_items).alias("contaminated"),
+        F.col("dc_words").alias("n_words"),
+        F.when(F.size("dc_spans") > 0, halves).otherwise(F.lit(0).cast("long")).alias("n_hit"),
+        F.size("dc_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("dc_items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("dc_items") >= least_items).alias("contaminated"),
     )
 
 
@@ -151,9 +160,10 @@ def clean_of(docs: DataFrame, items: DataFrame, window: int = WINDOW, least_item
 
     A single item shorter than a window is no proof by itself, as such words stand in clean texts too.
     """
-    runs = F.transform(F.sequence(F.lit(0), F.size("__dc_spans") - 2, F.lit(2)), lambda i: F.get("__dc_spans", i + 1) - F.get("__dc_spans", i))
-    longest = F.when(F.size("__dc_spans") > 0, F.array_max(runs)).otherwise(F.lit(0))
-    return annotate(docs, items, window).where((F.size("__dc_items") < least_items) & (longest < window)).select(*docs.columns)
+    spans, found = (f"{_prefix(docs)}{k}" for k in ("spans", "items"))
+    runs = F.transform(F.sequence(F.lit(0), F.size(spans) - 2, F.lit(2)), lambda i: F.get(spans, i + 1) - F.get(spans, i))
+    longest = F.when(F.size(spans) > 0, F.array_max(runs)).otherwise(F.lit(0))
+    return annotate(docs, items, window).where((F.size(found) < least_items) & (longest < window)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

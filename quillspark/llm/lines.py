@@ -9,7 +9,8 @@ Everything else covers every line of every document.
 
 Edge cases: a null or wordless text has no words and fails the base rules; lines
 without a word are not labelled; no labels at all leaves the built-in weights;
-long texts are judged whole; repeated rows are judged each.
+long texts are judged whole; repeated rows are judged each; an empty table gives an
+empty result; other columns are ignored, or kept as they are (``keep_content``).
 """
 
 from __future__ import annotations
@@ -262,7 +263,10 @@ def judge(docs: DataFrame, model: LineField, prefix: str = "", least_content: fl
 
 def keep_content(docs: DataFrame, model: LineField, least_content: float = LEAST_CONTENT) -> DataFrame:
     """The rows of ``docs`` that pass, unchanged."""
-    return judge(docs, model, "__ql_", least_content).where("__ql_kept").select(*docs.columns)
+    prefix = "ql_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return judge(docs, model, prefix, least_content).where(f"{prefix}kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

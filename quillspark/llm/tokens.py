@@ -11,7 +11,8 @@ whole.  Counts of units are cached per worker, with a bounded number of entries.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; special strings of
 the vocabulary inside a text are one token each, as the library counts them;
-long texts are counted whole; repeated rows are reported each.
+long texts are counted whole; repeated rows are reported each; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
