@@ -68,7 +68,7 @@ class Bayes:
 class Logistic:
     """One against the rest, by batch gradient descent; the intercept is trained and then left out.
 
-    A class is fitted in a task of its own from its sparse rows; the vocabulary sets the width.
+    A class is fitted in a task of its own from its sparse rows; features are told by a 64-bit hash.
     """
 
     def __init__(self, theta: DataFrame):
@@ -77,16 +77,16 @@ class Logistic:
     @classmethod
     def fit(cls, examples: DataFrame, rounds: int = 500) -> Logistic:
         attach(examples.sparkSession)
-        vocabulary = examples.select(F.explode("tokens").alias("feature")).distinct().withColumn("slot", F.row_number().over(Window.orderBy("feature")) - 1)
-        rows = examples.withColumn("_id", F.monotonically_increasing_id()).select("_id", "label", F.explode(F.array_distinct("tokens")).alias("feature")).join(vocabulary, "feature").groupBy("_id", "label").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
-        width = vocabulary.count()
+        vocabulary = examples.select(F.explode("tokens").alias("feature")).distinct().withColumn("slot", F.xxhash64("feature"))
+        rows = examples.where("size(tokens) > 0").select("label", F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)).alias("slots"))
         labels = examples.select(F.col("label").alias("target")).distinct()
 
         def descend(key, pdf):
             m = len(pdf)
             # a row's ones, by row and column; column 0 is the intercept
             row = np.repeat(np.arange(m), pdf["slots"].map(len))
-            column = np.concatenate([np.asarray(slots, int) for slots in pdf["slots"]]) + 1
+            slots, column = np.unique(np.concatenate([np.asarray(x, np.int64) for x in pdf["slots"]]), return_inverse=True)
+            column, width = column + 1, len(slots)
             y = (pdf["label"] == key[0]).to_numpy(float)
             theta, rate, last = np.zeros(width + 1), 3.0, math.inf
             for _ in range(rounds):
@@ -102,10 +102,10 @@ class Logistic:
                 theta = theta - rate / m * slope
             import pandas as pd
 
-            return pd.DataFrame({"label": key[0], "slot": np.arange(width), "weight": theta[1:]})
+            return pd.DataFrame({"label": key[0], "slot": slots, "weight": theta[1:]})
 
         both = labels.crossJoin(rows)
-        theta = both.groupBy("target").applyInPandas(descend, "label string, slot int, weight double")
+        theta = both.groupBy("target").applyInPandas(descend, "label string, slot long, weight double")
         return cls(theta.join(vocabulary, "slot").select("label", "feature", "weight"))
 
     def scores(self, docs: DataFrame, key: str = "doc") -> DataFrame:

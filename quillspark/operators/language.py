@@ -49,11 +49,11 @@ def detect_script(text: Column) -> Column:
     def decided(x: Column) -> Column:
         tied = F.filter(x["votes"], lambda v: v["n"] == F.array_max(F.transform(x["votes"], lambda w: w["n"])))
         first = F.array_min(F.transform(tied, lambda v: F.struct(F.length(F.call_function("regexp_extract", text, v["before"], F.lit(0))).alias("at"), v["script"].alias("script"))))
-        named_wins = F.when(F.size(tied) == 1, tied[0]["script"]).otherwise(first["script"])
-        return F.when((tied[0]["n"] == 0) & (x["other"] == 0), F.lit(None)).when(x["other"] > tied[0]["n"], F.lit("Other")).otherwise(named_wins)
+        named_wins = F.when(F.size(tied) == 1, F.get(tied, F.lit(0))["script"]).otherwise(first["script"])
+        return F.when((F.get(tied, F.lit(0))["n"] == 0) & (x["other"] == 0), F.lit(None)).when(x["other"] > F.get(tied, F.lit(0))["n"], F.lit("Other")).otherwise(named_wins)
 
     slow = F.transform(F.array(F.struct(votes.alias("votes"), other.alias("other"))), decided)[0]
-    return F.when(ascii_letters > beyond, F.lit("Latin")).otherwise(slow)
+    return F.when(text.isNull(), F.lit(None)).when(ascii_letters > beyond, F.lit("Latin")).otherwise(slow)
 
 
 BUCKETS = 4096

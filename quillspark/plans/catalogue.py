@@ -201,6 +201,20 @@ def weighted_osa_names(spark, sf):
     return _scored(spark, sf, lambda a, b: distance.osa_weighted(a, b, _COSTS))
 
 
+_VOCABULARY = f"n AS (SELECT DISTINCT unnest({_W.format('text')}) AS name FROM documents)"
+
+
+def _vocabulary(spark, sf):
+    return table(spark, sf, "documents").select(F.explode(_words(F.col("text"))).alias("name")).distinct()
+
+
+@query(f"WITH {_VOCABULARY} SELECT name, levenshtein(name, reverse(name))::INT AS levenshtein, damerau_levenshtein(name, reverse(name))::INT AS damerau, round(jaro_similarity(name, reverse(name)), 6) AS jaro FROM n")
+def distance_vocabulary(spark, sf):
+    """Every word of the documents against itself backwards."""
+    a, b = F.col("name"), F.reverse("name")
+    return _vocabulary(spark, sf).select("name", distance.levenshtein(a, b).alias("levenshtein"), distance.damerau_levenshtein(a, b).alias("damerau"), F.round(distance.jaro(a, b), 6).alias("jaro"))
+
+
 @query("SELECT c_custkey, levenshtein('Customer#000000042', c_name)::INT AS distance FROM customer")
 def prepared_pattern(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", distance.PreparedPattern("Customer#000000042").levenshtein(F.col("c_name")).alias("distance"))
@@ -267,16 +281,21 @@ def caverphone2(spark, sf):
 
 
 #: Letters without H and W behind the first, as digits; runs are one, vowels part runs and go, and the first digit is the letter's own.
-_SOUNDEX = f"""WITH n AS ({_NAMES}), l AS (SELECT name, {_LETTERS} AS l FROM n),
+_SOUNDEX = f"""l AS (SELECT name, {_LETTERS} AS l FROM n),
 d AS (SELECT name, l, string_split(translate(l[1:1] || regexp_replace(l[2:], '[HW]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202'), '') AS d FROM l)
 SELECT name, CASE WHEN l = '' THEN '' ELSE substr(l[1:1] || replace(array_to_string([d[i] FOR i IN range(2, len(d) + 1) IF d[i] <> d[i - 1]], ''), '0', '') || '000', 1, 4) END AS code FROM d"""
 
 
-@query(_SOUNDEX)
+@query(f"WITH n AS ({_NAMES}), {_SOUNDEX}")
 def soundex_names(spark, sf):
     return _coded(spark, sf, phonetics.soundex)
 
 
+@query(f"WITH {_VOCABULARY}, {_SOUNDEX}")
+def soundex_vocabulary(spark, sf):
+    return _vocabulary(spark, sf).select("name", phonetics.soundex(F.col("name")).alias("code"))
+
+
 for _name, _fn in (("metaphone_names", phonetics.metaphone), ("double_metaphone_names", lambda c: F.array_join(phonetics.double_metaphone(c), "|")), ("nysiis_names", phonetics.nysiis), ("cologne_names", phonetics.cologne), ("phonex_names", phonetics.phonex), ("match_rating_names", phonetics.match_rating), ("daitch_mokotoff_names", lambda c: F.array_join(phonetics.daitch_mokotoff(c), "|"))):
     QUERIES[_name] = lambda spark, sf, fn=_fn: _coded(spark, sf, fn)
 
