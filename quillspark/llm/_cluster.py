@@ -15,6 +15,7 @@ import uuid
 
 import quillspark
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def prepare(spark: SparkSession) -> None:
@@ -66,6 +67,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stage_parts(df: DataFrame, name: str, part: str, values: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Write ``df`` once, apart by the values of a column, and return each part as read back; they can be freed apart."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").partitionBy(part).parquet(path)
+    out = {}
+    for v in values:
+        out[v] = df.sparkSession.read.schema(df.schema).parquet(path).where(F.col(part) == v).drop(part)
+        out[v].staged_path = f"{path}/{part}={v}"
+    return out
+
+
 def free(*staged: DataFrame) -> None:
     """Delete staged tables that nothing will read again."""
     for df in staged:

@@ -25,8 +25,9 @@ documents sends its distinct units to buckets of the word, where counts of words
 and units meet, are spelled once, and are sent back.  Counts of contexts meet the
 same way: a bucket sends each distinct pair of context and symbol to the share of
 the context, and gets the counts along the symbol's bits back.  Pairs of units meet
-by a hash of 40 bits in a share told by both units' buckets, so that neither a
-frequent unit nor its successors load one share.  All that is gathered grows with
+by a hash of 32 bits in a share told by both units' buckets, so that neither a
+frequent unit nor its successors load one share; as shares grow in number with the
+text, about one pair in a thousand meets the count of another as well.  All that is gathered grows with
 the text, and so do buckets; how the rows are dealt to partitions changes nothing.
 
 Edge cases: null and empty texts are an end alone; a null id counts as training
@@ -48,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._cluster import prepare, stage, table
+from ._cluster import free, prepare, stage, stage_parts, table
 from ._words import _BYTE, Words, mixed, prefix_hash, range_hash, steps, text_buffers
 
 FOLDS, HELD = 5, 1
@@ -155,11 +156,11 @@ def _slices(docs: DataFrame, buckets: int) -> DataFrame:
             name, rows = uuid.uuid4().hex, []
             old, new, share, pair = unit_pairs(place[inverse].astype(np.int64), first, np.array(cut[1:]))
             own = np.append(key[at][order], np.uint64(0x5851F42D4C957F2D))
-            hashes = mixed(own[old] * np.uint64(0x9E3779B97F4A7C15) + own[new]) >> np.uint64(24)
+            hashes = mixed(own[old] * np.uint64(0x9E3779B97F4A7C15) + own[new]) & np.uint64(0xFFFFFFFF)
             times = np.bincount(pair[train], minlength=len(old)).astype(np.uint32)
             for i, (a, b) in enumerate(zip(*(np.searchsorted(share, np.arange(buckets) + k).tolist() for k in (0, 1)))):
                 if b > a:
-                    rows.append({"slice": name, "bucket": -2 - i, "n": b - a, "data": _pack(hashes[a:b]), "counts": _pack(times[a:b])})
+                    rows.append({"slice": name, "bucket": -2 - i, "n": b - a, "data": _pack(hashes[a:b].astype(np.uint32)), "counts": _pack(times[a:b])})
             tokens = np.diff(np.append(first, len(end))).astype(np.uint32)
             rows.append({"slice": name, "bucket": -1, "n": k, "size": len(end), "places": _pack(place[inverse]), "docs": _pack(numbers), "held": _pack(held.astype(np.uint8)), "tokens": _pack(tokens), "missing": _pack(missing.astype(np.uint8)), "bytes": _pack(np.diff(w.off).astype(np.uint32))})
             for i in range(buckets):
@@ -203,7 +204,7 @@ _PAIRED_ARROW = pa.schema([("slice", pa.string()), ("share", pa.int32()), ("n",
 
 def _meet_pairs(t):
     """One share: how often each pair that a slice asked for occurs in all training texts."""
-    asked = [(name, _unpack(p, n, np.uint64), _unpack(c, n, np.uint32).astype(np.int64)) for name, n, p, c in zip(*(t.column(k).to_pylist() for k in ("slice", "n", "data", "counts")))]
+    asked = [(name, _unpack(p, n, np.uint32), _unpack(c, n, np.uint32).astype(np.int64)) for name, n, p, c in zip(*(t.column(k).to_pylist() for k in ("slice", "n", "data", "counts")))]
     pairs, counts = _summed(np.concatenate([p for _, p, _ in asked]), np.concatenate([c for _, _, c in asked]))
     share = -2 - t.column("bucket")[0].as_py()
     rows = [{"slice": name, "share": share, "n": len(p), "pairs": _pack(counts[np.searchsorted(pairs, p)])} for name, p, _ in asked]
@@ -302,7 +303,8 @@ def _as_tables(along: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Counts of clear and set bits by slot of ``Bits``, the same array for every order."""
     bit = ((pairs[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(bool)
     same, other = along[:, 1:], along[:, :-1] - along[:, 1:]
-    both = np.stack([np.where(bit, other, same), np.where(bit, same, other)]).astype(np.float64).reshape(2, -1)
+    # the sums are exact; what is taken from these is their logarithms
+    both = np.stack([np.where(bit, other, same), np.where(bit, same, other)]).astype(np.float32).reshape(2, -1)
     return np.broadcast_to(both, (ORDERS, *both.shape))
 
 
@@ -334,7 +336,7 @@ class Mixer:
         """Stretched predictions (orders, bits), and the gate of each bit."""
         shape = b.bit.size
         bit = b.bit.reshape(-1)
-        x = np.empty((ORDERS, shape))
+        x = np.empty((ORDERS, shape), np.float32)
         seen = None
         for k in range(ORDERS):
             slot = b.slots[k].reshape(-1)
@@ -359,7 +361,7 @@ class Mixer:
         return p, np.clip(0.5 * p + 0.5 * fine, 1e-6, 1 - 1e-6), low, part
 
     def learn(self, b: Bits, times: np.ndarray, rate: float) -> None:
-        own = np.repeat((times[b.unit] > 0).astype(float), 8)
+        own = np.repeat((times[b.unit] > 0).astype(np.float32), 8)
         x, gate = self.inputs(b, own)
         bit, weight = b.bit.reshape(-1), np.repeat(times[b.unit], 8)
         p, _, low, part = self.predict(x, gate)
@@ -404,7 +406,7 @@ def flag_costs(flags: np.ndarray, level: np.ndarray, first: np.ndarray, rate: fl
     by_size = np.argsort(-(ends - first), kind="stable")
     begin, sizes = first[by_size], (ends - first)[by_size]
     m = len(begin)
-    counts = [np.stack([np.full((m, size), FLAG_PRIOR * (1 - rate)), np.full((m, size), FLAG_PRIOR * rate)]) for size in FLAG_CONTEXTS]
+    counts = [np.repeat([FLAG_PRIOR * (1 - rate), FLAG_PRIOR * rate], m * size) for size in FLAG_CONTEXTS]
     weights, refined = np.full((m, 2, k), 1.25 / k), np.tile(_squash(np.linspace(-8, 8, FLAG_STEPS)), (m, 2, 1))
     for at in range(0, int(sizes[0]) if m else 0, FLAG_BLOCK):
         live = int(np.searchsorted(-sizes, -at, "left"))
@@ -413,7 +415,8 @@ def flag_costs(flags: np.ndarray, level: np.ndarray, first: np.ndarray, rate: fl
         spot = np.where(real, spot, begin[:live, None])
         row = np.arange(live)[:, None]
         y, c, gate = flag[spot], context[:, spot], last[spot]
-        x = np.stack([np.log(counts[i][1][row, c[i]] / counts[i][0][row, c[i]]) for i in range(k)], axis=-1)
+        slot = [row * FLAG_CONTEXTS[i] + c[i] for i in range(k)]
+        x = np.stack([np.log(counts[i][slot[i] + m * FLAG_CONTEXTS[i]] / counts[i][slot[i]]) for i in range(k)], axis=-1)
         t = np.clip((x * weights[row, gate]).sum(axis=-1), -7.999, 7.999)
         p = _squash(t)
         place = (t + 8) * ((FLAG_STEPS - 1) / 16)
@@ -426,11 +429,9 @@ def flag_costs(flags: np.ndarray, level: np.ndarray, first: np.ndarray, rate: fl
         for g in (0, 1):
             weights[:live, g] += FLAG_RATE * (np.where(gate == g, error, 0.0)[..., None] * x).sum(axis=1)
         for i in range(k):
-            np.add.at(counts[i], (y[real], np.broadcast_to(row, y.shape)[real], c[i][real]), 1.0)
-        cell = (np.broadcast_to(row, y.shape)[real], gate[real], (low + (part > 0.5))[real])
-        hits, ones = np.zeros(refined[:live].shape), np.zeros(refined[:live].shape)
-        np.add.at(hits, cell, 1.0)
-        np.add.at(ones, cell, y[real])
+            np.add.at(counts[i], (slot[i] + y * (m * FLAG_CONTEXTS[i]))[real], 1.0)
+        cell = ((row * 2 + gate) * FLAG_STEPS + low + (part > 0.5))[real]
+        hits, ones = (np.bincount(cell, weights=w, minlength=live * 2 * FLAG_STEPS).reshape(live, 2, FLAG_STEPS) for w in (None, y[real]))
         refined[:live] += np.where(hits > 0, 1 - (1 - FLAG_PACE) ** hits, 0) * (ones / np.maximum(hits, 1) - refined[:live])
     return out
 
@@ -489,7 +490,7 @@ def _fit_mixer(vocabulary: DataFrame, counted: DataFrame, tasks: int) -> tuple[n
     """Weights and map: learned online by each task over all its training units, averaged by their number."""
 
     def learn(t):
-        mixer, seen = Mixer(np.zeros((ORDERS, 2, 0))), 0
+        mixer, seen = Mixer(np.zeros((ORDERS, 2, 0), np.float32)), 0
         by_bucket: dict[int, list[dict]] = {}
         for row in t.to_pylist():
             by_bucket.setdefault(row["bucket"], []).append(row)
@@ -524,12 +525,15 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     buckets = max(BUCKETS, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
-    slices = stage(_slices(docs, buckets), "mix-slices")
-    met = stage(slices.where("bucket >= 0").select("bucket", "slice", "n", "size", "data", "counts").groupBy("bucket").applyInArrow(_meet, _BUCKET), "mix-buckets")
+    kind = F.when(F.col("bucket") >= 0, "units").when(F.col("bucket") == -1, "texts").otherwise("pairs")
+    slices = stage_parts(_slices(docs, buckets).withColumn("kind", kind), "mix-slices", "kind", ("units", "texts", "pairs"))
+    met = stage(slices["units"].select("bucket", "slice", "n", "size", "data", "counts").groupBy("bucket").applyInArrow(_meet, _BUCKET), "mix-buckets")
     vocabulary = met.where("slice is null")
     words, total = (int(x or 0) for x in vocabulary.agg(F.sum("words"), F.sum("total")).first())
     tasks = max(TASKS, buckets // TASK_BUCKETS)
-    paired = stage(slices.where("bucket < -1").select("slice", "bucket", "n", "data", "counts").groupBy("bucket").applyInArrow(_meet_pairs, _PAIRED + ", again long, seen long"), "mix-pairs")
+    free(slices["units"])
+    paired = stage(slices["pairs"].select("slice", "bucket", "n", "data", "counts").groupBy("bucket").applyInArrow(_meet_pairs, _PAIRED + ", again long, seen long"), "mix-pairs")
+    free(slices["pairs"])
     again, seen = (int(x or 0) for x in paired.agg(F.sum("again"), F.sum("seen")).first())
     rate = (again + 0.5) / (seen + 1)
     counted = _count_contexts(vocabulary, buckets)
@@ -551,7 +555,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         return pa.Table.from_pylist(rows, schema=pa.schema([("slice", pa.string()), ("bucket", pa.int32()), *((k, pa.binary()) for k in ("c", "tf", "logp")), ("n", pa.int32())]))
 
     replies = _beside(met, counted).groupBy("bucket").applyInArrow(reply, _REPLY)
-    told = slices.where("bucket = -1").select("slice", "bucket", "n", "size", "places", "docs", "held", "tokens", "missing", "bytes")
+    told = slices["texts"].select("slice", "bucket", "n", "size", "places", "docs", "held", "tokens", "missing", "bytes")
     both = told.unionByName(replies, allowMissingColumns=True).unionByName(paired.select("slice", (-2 - F.col("share")).alias("bucket"), "n", "pairs"), allowMissingColumns=True)
 
     def finish(t):
