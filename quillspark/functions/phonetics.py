@@ -561,21 +561,75 @@ def match_rating_alike(a: str, b: str) -> bool:
     return 6 - max(len(x), len(y)) >= least
 
 
-_DM = {  # letters: codes at the start, before a vowel, elsewhere; | separates branches
-    k: tuple(v.split(","))
-    for line in """
-AI AJ AY=0,1,;AU=0,7,;A=0,,;B=7,7,7;CHS=5,54,54;CH=5|4,5|4,5|4;CK=5|45,5|45,5|45;CZ CS CSZ CZS=4,4,4;C=5|4,5|4,5|4
-DRZ DRS=4,4,4;DS DSH DSZ DZ DZH DZS=4,4,4;D DT=3,3,3;EI EJ EY=0,1,;EU=1,1,;E=0,,;FB=7,7,7;F=7,7,7;G=5,5,5;H=5,5,
-IA IE IO IU=1,,;I=0,,;J=1|4,|4,|4;KS=5,54,54;KH=5,5,5;K=5,5,5;L=8,8,8;MN=66,66,66;M=6,6,6;NM=66,66,66;N=6,6,6
-OI OJ OY=0,1,;O=0,,;P PF PH=7,7,7;Q=5,5,5;RZ RS=94|4,94|4,94|4;R=9,9,9;SCHTSCH SCHTSH SCHTCH=2,4,4;SCH=4,4,4
-SHTCH SHCH SHTSH=2,4,4;SHT SCHT SCHD=2,43,43;SH=4,4,4;STCH STSCH SC=2,4,4;STRZ STRS STSH=2,4,4;ST=2,43,43
-SZCZ SZCS=2,4,4;SZT SHD SZD SD=2,43,43;SZ=4,4,4;S=4,4,4;TCH TTCH TTSCH=4,4,4;TH=3,3,3;TRZ TRS=4,4,4;TSCH TSH=4,4,4
-TS TTS TTSZ TC TZ TTZ TZS TSZ=4,4,4;T=3,3,3;UI UJ UY=0,1,;UE U=0,,;V=7,7,7;W=7,7,7;X=5,54,54;Y=1,,
-ZDZ ZDZH ZHDZH=2,4,4;ZD ZHD=2,43,43;ZH ZS ZSCH ZSH=4,4,4;Z=4,4,4""".strip().split("\n")
-    for entry in line.split(";")
-    for keys, v in [entry.split("=")]
-    for k in keys.split()
-}
+#: The chart of R. Mokotoff and G. Daitch (1985). Letters, and their codes at the start of a word,
+#: before a vowel, and elsewhere; | separates branches.
+_DM_CHART = (
+    ("AI AJ AY", "0", "1", ""),
+    ("AU", "0", "7", ""),
+    ("A", "0", "", ""),
+    ("B", "7", "7", "7"),
+    ("CHS", "5", "54", "54"),
+    ("CH", "5|4", "5|4", "5|4"),
+    ("CK", "5|45", "5|45", "5|45"),
+    ("CZ CS CSZ CZS", "4", "4", "4"),
+    ("C", "5|4", "5|4", "5|4"),
+    ("DRZ DRS", "4", "4", "4"),
+    ("DS DSH DSZ DZ DZH DZS", "4", "4", "4"),
+    ("D DT", "3", "3", "3"),
+    ("EI EJ EY", "0", "1", ""),
+    ("EU", "1", "1", ""),
+    ("E", "0", "", ""),
+    ("FB", "7", "7", "7"),
+    ("F", "7", "7", "7"),
+    ("G", "5", "5", "5"),
+    ("H", "5", "5", ""),
+    ("IA IE IO IU", "1", "", ""),
+    ("I", "0", "", ""),
+    ("J", "1|4", "|4", "|4"),
+    ("KS", "5", "54", "54"),
+    ("KH", "5", "5", "5"),
+    ("K", "5", "5", "5"),
+    ("L", "8", "8", "8"),
+    ("MN", "66", "66", "66"),
+    ("M", "6", "6", "6"),
+    ("NM", "66", "66", "66"),
+    ("N", "6", "6", "6"),
+    ("OI OJ OY", "0", "1", ""),
+    ("O", "0", "", ""),
+    ("P PF PH", "7", "7", "7"),
+    ("Q", "5", "5", "5"),
+    ("RZ RS", "94|4", "94|4", "94|4"),
+    ("R", "9", "9", "9"),
+    ("SCHTSCH SCHTSH SCHTCH", "2", "4", "4"),
+    ("SCH", "4", "4", "4"),
+    ("SHTCH SHCH SHTSH", "2", "4", "4"),
+    ("SHT SCHT SCHD", "2", "43", "43"),
+    ("SH", "4", "4", "4"),
+    ("STCH STSCH SC", "2", "4", "4"),
+    ("STRZ STRS STSH", "2", "4", "4"),
+    ("ST", "2", "43", "43"),
+    ("SZCZ SZCS", "2", "4", "4"),
+    ("SZT SHD SZD SD", "2", "43", "43"),
+    ("SZ", "4", "4", "4"),
+    ("S", "4", "4", "4"),
+    ("TCH TTCH TTSCH", "4", "4", "4"),
+    ("TH", "3", "3", "3"),
+    ("TRZ TRS", "4", "4", "4"),
+    ("TSCH TSH", "4", "4", "4"),
+    ("TS TTS TTSZ TC TZ TTZ TZS TSZ", "4", "4", "4"),
+    ("T", "3", "3", "3"),
+    ("UI UJ UY", "0", "1", ""),
+    ("UE U", "0", "", ""),
+    ("V", "7", "7", "7"),
+    ("W", "7", "7", "7"),
+    ("X", "5", "54", "54"),
+    ("Y", "1", "", ""),
+    ("ZDZ ZDZH ZHDZH", "2", "4", "4"),
+    ("ZD ZHD", "2", "43", "43"),
+    ("ZH ZS ZSCH ZSH", "4", "4", "4"),
+    ("Z", "4", "4", "4"),
+)
+_DM = {letters: codes for keys, *codes in _DM_CHART for letters in keys.split()}
 
 
 def daitch_mokotoff_codes(word: str) -> list[str]:

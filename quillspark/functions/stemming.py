@@ -85,7 +85,8 @@ def porter(word: str) -> str:
     return w
 
 
-#: Reversed ending, * for intact words only, letters to drop, what to append, > to go on or . to stop.
+#: The rules of C. Paice and G. Husk (Another Stemmer, 1990) in their own notation and order:
+#: reversed ending, * for intact words only, letters to drop, what to append, > to go on or . to stop.
 _HUSK = (
     "ai*2. a*1. bb1. city3s. ci2> cn1t> dd1. dei3y> deec2ss. dee1. de2> dooh4> e1> feil1v. fi2> gni3> gai3y. ga2> gg1. ht*2. hsiug5ct. hsi3> i*1. i1y> "
     "ji1d. juf1s. ju1d. jo1d. jeh1r. jrev1t. jsim2t. jn1d. j1s. lbaifi6. lbai4y. lba3> lbi3. lib2l> lc1. lufi4y. luf3> lu2. lai3> lau3> la2> ll1. "
