@@ -54,7 +54,7 @@ from ._words import _BYTE, Words, mixed, prefix_hash, range_hash, steps, text_bu
 
 FOLDS, HELD = 5, 1
 #: Text of one slice; its distinct units and pairs of units travel together.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 #: Text for each bucket of units, and buckets at least.
 BUCKET_BYTES, BUCKETS = 32 << 20, 24
 #: Hashed slots of one order, for ``Bits`` without counted pairs.
@@ -237,8 +237,11 @@ class Bits:
         self.bit = ((symbol[:, None] >> shifts) & np.uint64(1)).astype(np.uint8)
         bases = _contexts(joined, at, at - begin[self.unit], begin[self.unit])
         if pairs is not None:
-            places = np.searchsorted(pairs, (bases & ~np.uint64(255)) | symbol)
-            self.slots = places[:, :, None] * 8 + np.arange(8)
+            keys = ((bases & ~np.uint64(255)) | symbol).reshape(-1)
+            order = np.argsort(keys)  # sought in ascending order, neighbours share what a search touches
+            places = np.empty(len(keys), np.int64)
+            places[order] = np.searchsorted(pairs, keys[order])
+            self.slots = places.reshape(bases.shape)[:, :, None] * 8 + np.arange(8)
             return
         node = np.ones((len(at), 8), np.uint64)
         for k in range(1, 8):
@@ -323,6 +326,18 @@ class Mixer:
         self.tables = tables  # (ORDERS, 2, slots)
         self.weights = self.start_weights() if weights is None else weights
         self.refined = self.start_map() if refined is None else refined
+        self.known: tuple | None = None
+
+    def know(self, pairs: np.ndarray) -> None:
+        """Stretched predictions and gate levels of every slot, with and without one occurrence of its own pair; slots are read often."""
+        bit = ((pairs[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(np.float32).reshape(-1)
+        n0, n1 = self.tables[0]
+        self.known = tuple(self._stretched(a, b) for a, b in ((n0, n1), (np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0))))
+
+    @staticmethod
+    def _stretched(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = n0 + n1
+        return (np.log((n1 + 0.1) / (n0 + 0.1)) * (n / (n + 0.5))).astype(np.float32), np.minimum(np.log2(n + 1).astype(np.int8), 6) // 2
 
     @staticmethod
     def start_weights() -> np.ndarray:
@@ -334,6 +349,9 @@ class Mixer:
 
     def inputs(self, b: Bits, own: np.ndarray | None = None):
         """Stretched predictions (orders, bits), and the gate of each bit."""
+        if self.known is not None:
+            x, level = self.known[own is not None]
+            return x[b.slots.reshape(ORDERS, -1)], np.tile(np.arange(8), len(b.bit)) * 4 + level[b.slots[-1].reshape(-1)]
         shape = b.bit.size
         bit = b.bit.reshape(-1)
         x = np.empty((ORDERS, shape), np.float32)
@@ -500,6 +518,7 @@ def _fit_mixer(vocabulary: DataFrame, counted: DataFrame, tasks: int) -> tuple[n
             known = np.flatnonzero(times)
             if len(known):
                 pairs, mixer.tables = _counted([r for r in rows if r["share"] is not None], units, times)
+                mixer.know(pairs)
             for a in range(0, len(known), BLOCK_UNITS):
                 some = known[a : a + BLOCK_UNITS]
                 mixer.learn(Bits([units[i] for i in some.tolist()], pairs), times[some].astype(float), RATE)
@@ -546,7 +565,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
         own = t.filter(pc.is_null(t.column("slice"))).to_pylist()[0]
         c, tf, units = _unpack(own["c"], own["n"], np.int64), _unpack(own["tf"], own["n"], np.int64), _listed(own["units"], own["size"])
         pairs, tables = _counted(told, units, tf)
-        logp = Mixer(tables, weights, refined).score(units, pairs).astype(np.float64)
+        mixer = Mixer(tables, weights, refined)
+        mixer.know(pairs)
+        logp = mixer.score(units, pairs).astype(np.float64)
         rows = []
         for name, n, places in zip(*(t.column(k).to_pylist() for k in ("slice", "n", "places"))):
             if name is not None:

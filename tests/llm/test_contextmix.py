@@ -185,6 +185,18 @@ def test_pairs_are_counted_over_all_slices(spark):
     assert found == {i: [pairs[p] for p in zip(u, u[1:])] for i, u in units.items()}
 
 
+def test_known_slots_give_what_their_counts_give():
+    rnd = np.random.default_rng(8)
+    units = sorted({b"\x01 " + bytes(rnd.choice(list(b"abcd"), rnd.integers(1, 7)).astype(np.uint8)) for _ in range(300)})
+    pairs, counts = contextmix.own_pairs(units, rnd.integers(1, 5, len(units)))
+    slow, fast = (contextmix.Mixer(contextmix._as_tables(contextmix._along_bits(pairs, counts), pairs)) for _ in range(2))
+    fast.know(pairs)
+    bits = contextmix.Bits(units, pairs)
+    for own in (None, np.ones(bits.bit.size, np.float32)):
+        (x, gate), (y, same) = slow.inputs(bits, own), fast.inputs(bits, own)
+        assert np.allclose(x, y, rtol=1e-5) and (gate == same).all()
+
+
 @pytest.mark.parametrize("size, most", [("sf0.001", 2.642), ("sf0.01", 2.47)])
 def test_held_out_bits_per_byte_at_two_sizes(spark, size, most):
     """Without units before, these were 2.636 and 2.449."""
