@@ -57,7 +57,7 @@ class Digraph:
             level += 1
 
     def topological(self) -> DataFrame:
-        """(vertex, place) as a first-in first-out queue would give it; raises if there is a cycle.
+        """(vertex, level, place) as a first-in first-out queue would give it; raises if there is a cycle.
 
         Vertices are numbered as they first stand in the edges, source before target.  A queue takes whole levels in
         turn; within one, a vertex stands where its last predecessor and that edge put it.
@@ -70,12 +70,12 @@ class Digraph:
             now = levels.where(F.col("level") == level)
             n = now.count()
             if not n:
-                return done if done is not None else levels.select("vertex", F.lit(0).cast("long").alias("place"))
+                return done if done is not None else levels.select("vertex", "level", F.lit(0).cast("long").alias("place"))
             if done is None:
                 keyed = now.join(first, "vertex").select("vertex", F.struct(F.lit(0).cast("long").alias("p"), F.col("at").cast("long").alias("e")).alias("key"))
             else:
                 keyed = now.join(self.edges, F.col("vertex") == F.col("dst")).join(done.select(F.col("vertex").alias("src"), "place"), "src").groupBy("vertex").agg(F.max(F.struct(F.col("place").alias("p"), F.col("edge_id").cast("long").alias("e"))).alias("key"))
-            placed = keyed.select("vertex", (F.row_number().over(Window.orderBy("key")) - 1 + before).cast("long").alias("place"))
+            placed = keyed.select("vertex", F.lit(level).alias("level"), (F.row_number().over(Window.orderBy("key")) - 1 + before).cast("long").alias("place"))
             done = checkpointed(placed if done is None else done.unionByName(placed))
             before, level = before + n, level + 1
 

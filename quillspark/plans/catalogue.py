@@ -759,8 +759,7 @@ def closure_bfs(spark, sf):
 SELECT level, count(*)::BIGINT AS n, (sum(count(*)) OVER (ORDER BY level) - count(*))::BIGINT AS first_place FROM l GROUP BY level""")
 def topological_levels(spark, sf):
     """The first-in first-out order takes the levels one after the other."""
-    g = graphs.Digraph(_dag(spark, sf))
-    return g.topological().join(g.levels(), "vertex").groupBy("level").agg(F.count("*").alias("n"), F.min("place").alias("first_place"))
+    return graphs.Digraph(_dag(spark, sf)).topological().groupBy("level").agg(F.count("*").alias("n"), F.min("place").alias("first_place"))
 
 
 @query("SELECT v AS vertex, (SELECT count(*) FROM lineitem WHERE l_orderkey = v) AS out_degree FROM (SELECT DISTINCT l_orderkey AS v FROM lineitem)")
