@@ -56,7 +56,7 @@ FOLDS, HELD = 5, 1
 #: Text of one slice; its distinct units and pairs of units travel together.
 SLICE_BYTES = 2 << 20
 #: Text for each bucket of units, and buckets at least.
-BUCKET_BYTES, BUCKETS = 32 << 20, 24
+BUCKET_BYTES, BUCKETS = 16 << 20, 24
 #: Hashed slots of one order, for ``Bits`` without counted pairs.
 SLOTS = 1 << 20
 ORDERS = 6
@@ -265,9 +265,8 @@ def _contexts(joined: np.ndarray, at: np.ndarray, depth: np.ndarray, begin: np.n
     return out
 
 
-def own_pairs(units: list[bytes], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct pairs of context (upper 56 bits) and symbol of the units, and how often each occurs in training."""
-    found, counts = [], []
+def _pair_parts(units: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of context (upper 56 bits) and symbol of some units at a time, and the unit of each."""
     for a in range(0, len(units), 64 * BLOCK_UNITS):
         joined = np.frombuffer(b"\xff".join(units[a : a + 64 * BLOCK_UNITS]) + b"\xff", np.uint8)
         ends = np.flatnonzero(joined == _STOP)
@@ -277,16 +276,23 @@ def own_pairs(units: list[bytes], times: np.ndarray) -> tuple[np.ndarray, np.nda
         at = np.flatnonzero(~first)
         unit = np.cumsum(first)[at] - 1
         bases = _contexts(joined, at, at - begin[unit], begin[unit])
-        pair = ((bases & ~np.uint64(255)) | joined[at].astype(np.uint64)).reshape(-1)
-        x, n = _summed(pair, np.tile(times[a + unit], ORDERS))
-        found.append(x)
-        counts.append(n)
-    return _summed(np.concatenate(found), np.concatenate(counts))
+        yield ((bases & ~np.uint64(255)) | joined[at].astype(np.uint64)).reshape(-1), np.tile(a + unit, ORDERS)
+
+
+def own_pairs(units: list[bytes], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct pairs of context and symbol of the units, and how often each occurs in training."""
+    parts = [_summed(pair, times[unit]) for pair, unit in _pair_parts(units)]
+    return _summed(np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts]))
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[first], np.add.reduceat(counts, first)
@@ -491,9 +497,9 @@ def _share(pairs: np.ndarray, shares: int) -> np.ndarray:
     return ((pairs >> np.uint64(40)) * np.uint64(shares)) >> np.uint64(24)
 
 
-def _counted(rows: list[dict], units: list[bytes], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _counted(rows: list[dict], units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a bucket and their tables, from the rows that ``_count_contexts`` gave it."""
-    pairs, _ = own_pairs(units, times)
+    pairs = _distinct(np.concatenate([_distinct(pair) for pair, _ in _pair_parts(units)]))
     along = np.concatenate([_unpack(r["along"], 9 * r["n"], np.int64).reshape(-1, 9) for r in sorted(rows, key=lambda r: r["share"])])
     return pairs, _as_tables(along, pairs)
 
@@ -517,7 +523,7 @@ def _fit_mixer(vocabulary: DataFrame, counted: DataFrame, tasks: int) -> tuple[n
             units, times = _listed(own["units"], own["size"]), _unpack(own["tf"], own["n"], np.int64)
             known = np.flatnonzero(times)
             if len(known):
-                pairs, mixer.tables = _counted([r for r in rows if r["share"] is not None], units, times)
+                pairs, mixer.tables = _counted([r for r in rows if r["share"] is not None], units)
                 mixer.know(pairs)
             for a in range(0, len(known), BLOCK_UNITS):
                 some = known[a : a + BLOCK_UNITS]
@@ -564,7 +570,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         t = t.filter(pc.invert(counts))
         own = t.filter(pc.is_null(t.column("slice"))).to_pylist()[0]
         c, tf, units = _unpack(own["c"], own["n"], np.int64), _unpack(own["tf"], own["n"], np.int64), _listed(own["units"], own["size"])
-        pairs, tables = _counted(told, units, tf)
+        pairs, tables = _counted(told, units)
         mixer = Mixer(tables, weights, refined)
         mixer.know(pairs)
         logp = mixer.score(units, pairs).astype(np.float64)
