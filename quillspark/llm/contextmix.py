@@ -334,16 +334,21 @@ class Mixer:
         self.refined = self.start_map() if refined is None else refined
         self.known: tuple | None = None
 
-    def know(self, pairs: np.ndarray) -> None:
-        """Stretched predictions and gate levels of every slot, with and without one occurrence of its own pair; slots are read often."""
-        bit = ((pairs[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(np.float32).reshape(-1)
-        n0, n1 = self.tables[0]
-        self.known = tuple(self._stretched(a, b) for a, b in ((n0, n1), (np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0))))
-
-    @staticmethod
-    def _stretched(n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = n0 + n1
-        return (np.log((n1 + 0.1) / (n0 + 0.1)) * (n / (n + 0.5))).astype(np.float32), np.minimum(np.log2(n + 1).astype(np.int8), 6) // 2
+    def know(self, pairs: np.ndarray, parts: Iterator[np.ndarray], own: bool) -> None:
+        """Stretched predictions and gate levels of every slot, which is read often: ``parts`` are the counts along the bits of
+        the pairs, some at a time; with ``own``, as if one occurrence of a slot's own pair had not been counted."""
+        x, level, at = np.empty(8 * len(pairs), np.float32), np.empty(8 * len(pairs), np.int8), 0
+        for along in parts:
+            for a in range(0, len(along), 1 << 16):
+                some = pairs[at : at + len(along[a : a + (1 << 16)])]
+                n0, n1 = _as_tables(along[a : a + (1 << 16)], some)[0]
+                if own:
+                    bit = ((some[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)) & np.uint64(1)).astype(np.float32).reshape(-1)
+                    n0, n1 = np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0)
+                n, to = n0 + n1, slice(8 * at, 8 * (at + len(some)))
+                x[to], level[to] = np.log((n1 + 0.1) / (n0 + 0.1)) * (n / (n + 0.5)), np.minimum(np.log2(n + 1).astype(np.int8), 6) // 2
+                at += len(some)
+        self.known = x, level
 
     @staticmethod
     def start_weights() -> np.ndarray:
@@ -356,7 +361,7 @@ class Mixer:
     def inputs(self, b: Bits, own: np.ndarray | None = None):
         """Stretched predictions (orders, bits), and the gate of each bit."""
         if self.known is not None:
-            x, level = self.known[own is not None]
+            x, level = self.known
             return x[b.slots.reshape(ORDERS, -1)], np.tile(np.arange(8), len(b.bit)) * 4 + level[b.slots[-1].reshape(-1)]
         shape = b.bit.size
         bit = b.bit.reshape(-1)
@@ -497,11 +502,15 @@ def _share(pairs: np.ndarray, shares: int) -> np.ndarray:
     return ((pairs >> np.uint64(40)) * np.uint64(shares)) >> np.uint64(24)
 
 
-def _counted(rows: list[dict], units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a bucket and their tables, from the rows that ``_count_contexts`` gave it."""
-    pairs = _distinct(np.concatenate([_distinct(pair) for pair, _ in _pair_parts(units)]))
-    along = np.concatenate([_unpack(r["along"], 9 * r["n"], np.int64).reshape(-1, 9) for r in sorted(rows, key=lambda r: r["share"])])
-    return pairs, _as_tables(along, pairs)
+def _bucket_pairs(units: list[bytes]) -> np.ndarray:
+    """Sorted distinct pairs of a bucket."""
+    return _distinct(np.concatenate([_distinct(pair) for pair, _ in _pair_parts(units)]))
+
+
+def _told(rows: list[dict]) -> Iterator[np.ndarray]:
+    """Counts along the bits of a bucket's pairs, from the rows that ``_count_contexts`` gave it."""
+    for r in sorted(rows, key=lambda r: r["share"]):
+        yield _unpack(r["along"], 9 * r["n"], np.int64).reshape(-1, 9)
 
 
 def _beside(frame: DataFrame, counted: DataFrame) -> DataFrame:
@@ -515,16 +524,14 @@ def _fit_mixer(vocabulary: DataFrame, counted: DataFrame, tasks: int) -> tuple[n
 
     def learn(t):
         mixer, seen = Mixer(np.zeros((ORDERS, 2, 0), np.float32)), 0
-        by_bucket: dict[int, list[dict]] = {}
-        for row in t.to_pylist():
-            by_bucket.setdefault(row["bucket"], []).append(row)
-        for _, rows in sorted(by_bucket.items()):
+        for bucket in sorted(set(t.column("bucket").to_pylist())):
+            rows = t.filter(pc.equal(t.column("bucket"), bucket)).to_pylist()
             own = next(r for r in rows if r["share"] is None)
             units, times = _listed(own["units"], own["size"]), _unpack(own["tf"], own["n"], np.int64)
             known = np.flatnonzero(times)
             if len(known):
-                pairs, mixer.tables = _counted([r for r in rows if r["share"] is not None], units)
-                mixer.know(pairs)
+                pairs = _bucket_pairs(units)
+                mixer.know(pairs, _told([r for r in rows if r["share"] is not None]), True)
             for a in range(0, len(known), BLOCK_UNITS):
                 some = known[a : a + BLOCK_UNITS]
                 mixer.learn(Bits([units[i] for i in some.tolist()], pairs), times[some].astype(float), RATE)
@@ -570,9 +577,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
         t = t.filter(pc.invert(counts))
         own = t.filter(pc.is_null(t.column("slice"))).to_pylist()[0]
         c, tf, units = _unpack(own["c"], own["n"], np.int64), _unpack(own["tf"], own["n"], np.int64), _listed(own["units"], own["size"])
-        pairs, tables = _counted(told, units)
-        mixer = Mixer(tables, weights, refined)
-        mixer.know(pairs)
+        pairs = _bucket_pairs(units)
+        mixer = Mixer(np.zeros((ORDERS, 2, 0), np.float32), weights, refined)
+        mixer.know(pairs, _told(told), False)
         logp = mixer.score(units, pairs).astype(np.float64)
         rows = []
         for name, n, places in zip(*(t.column(k).to_pylist() for k in ("slice", "n", "places"))):

@@ -189,10 +189,11 @@ def test_known_slots_give_what_their_counts_give():
     rnd = np.random.default_rng(8)
     units = sorted({b"\x01 " + bytes(rnd.choice(list(b"abcd"), rnd.integers(1, 7)).astype(np.uint8)) for _ in range(300)})
     pairs, counts = contextmix.own_pairs(units, rnd.integers(1, 5, len(units)))
-    slow, fast = (contextmix.Mixer(contextmix._as_tables(contextmix._along_bits(pairs, counts), pairs)) for _ in range(2))
-    fast.know(pairs)
+    along = contextmix._along_bits(pairs, counts)
+    slow, fast = (contextmix.Mixer(contextmix._as_tables(along, pairs)) for _ in range(2))
     bits = contextmix.Bits(units, pairs)
     for own in (None, np.ones(bits.bit.size, np.float32)):
+        fast.know(pairs, iter([along[:100], along[100:]]), own is not None)
         (x, gate), (y, same) = slow.inputs(bits, own), fast.inputs(bits, own)
         assert np.allclose(x, y, rtol=1e-5) and (gate == same).all()
 
