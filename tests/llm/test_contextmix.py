@@ -205,3 +205,33 @@ def test_held_out_bits_per_byte_at_two_sizes(spark, size, most):
     rows = contextmix.score_texts(docs).where("held_out").collect()
     sizes = {r["doc_id"]: len((r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()}
     assert -sum(r["score"] for r in rows) / math.log10(2) / sum(sizes[r["doc_id"]] for r in rows) < most
+
+
+def test_spelling_predicts_every_prefix_once_and_as_symbol_by_symbol(monkeypatch):
+    """Units that share a prefix share its predictions; weights, map and costs are those of all their symbols apart."""
+    monkeypatch.setattr(contextmix, "BLOCK_UNITS", 8)  # several blocks, and parts of units that are read apart
+    rnd = np.random.default_rng(6)
+    units = sorted({b"\x01 " + bytes(rnd.choice(list(b"abc"), rnd.integers(1, 8)).astype(np.uint8)) for _ in range(2500)}, key=zlib.crc32)
+    times = rnd.integers(0, 4, len(units))
+    pairs, counts = contextmix.own_pairs(units, times)
+    along = contextmix._along_bits(pairs, counts)
+    edges, bits = contextmix.Edges(units), contextmix.Bits(units, pairs)
+    prefixes = {u[:k] for u in (x + b"\xff" for x in units) for k in range(2, len(u) + 1)}
+    assert (edges.pairs == pairs).all() and len(edges.bit) == len(prefixes) < len(bits.bit) / 2
+    assert (edges.places[edges.of].T == bits.places).all() and (edges.bit[edges.of] == bits.bit).all() and (edges.unit == bits.unit).all()
+    one, apart = (contextmix.Mixer(np.zeros((contextmix.ORDERS, 2, 0), np.float32)) for _ in range(2))
+    for mixer in (one, apart):
+        mixer.know(pairs, iter([along]), True)
+    contextmix.learn_units(one, edges, times)
+    known = np.flatnonzero(times)
+    for a in range(0, len(known), contextmix.BLOCK_UNITS):
+        some = known[a : a + contextmix.BLOCK_UNITS]
+        b = contextmix.Bits([units[i] for i in some], pairs)
+        apart.learn(contextmix.Rows(b.bit, b.places), times[some][b.unit].astype(float), contextmix.RATE)
+    assert len(units) > 64 * contextmix.BLOCK_UNITS and np.allclose(one.weights, apart.weights, rtol=1e-9) and np.allclose(one.refined, apart.refined, rtol=1e-9)
+    x, gate = apart.inputs(bits)
+    p = apart.predict(x, gate)[1]
+    cost = np.log(np.where(bits.bit.reshape(-1) == 1, p, 1 - p)).reshape(-1, 8).sum(axis=1)
+    rows, inputs = [], contextmix.Mixer.inputs
+    monkeypatch.setattr(contextmix.Mixer, "inputs", lambda self, b: rows.append(len(b.bit)) or inputs(self, b))
+    assert np.allclose(one.score(edges, len(units)), np.bincount(bits.unit, weights=cost), rtol=1e-9) and sum(rows) == len(prefixes)
