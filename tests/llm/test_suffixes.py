@@ -84,3 +84,15 @@ def test_empty_null_ids_and_shared_ids(spark):
     text = "y" * 50 + "z" * 500
     rows = suffixes.repeats(spark.createDataFrame([(None, text), (1, text), (1, "q" * 399)], "doc_id long, text string")).collect()
     assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in rows) == [(399, 0, 0), (550, 550, 1), (550, 550, 1)]
+
+
+def test_passages_are_judged_by_bytes_not_by_words(spark):
+    """A passage of 60 words stays with 399 bytes; with 400 it goes from every text, the first included."""
+    rnd = random.Random(6)
+    passage = lambda size: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5 + (k < size - 359))) for k in range(60))
+    short, long = passage(399), passage(400)
+    assert (len(short), len(long), len(short.split()), len(long.split())) == (399, 400, 60, 60)
+    docs = [(1, f"1{short}1"), (2, f"2{short}2"), (3, f"3{long}3"), (4, f"4{long}4")]
+    got = told(suffixes.repeats(brute.frame(spark, docs)))
+    assert got == expected(docs, 400)
+    assert [got[i][1:3] for i in (1, 2, 3, 4)] == [(0, 0), (0, 0), (400, 1), (400, 1)]
