@@ -8,7 +8,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .words import per_word
+from .words import per_text
 
 _SEGMENT = regex.compile(r"(?w)\b", regex.V1)
 _WORDLIKE = regex.compile(r"[\p{Alphabetic}\p{Nd}\p{Nl}\p{No}]")
@@ -94,11 +94,11 @@ def sentences(text: str, abbreviations: tuple[str, ...] = ()) -> list[str]:
 
 
 def segment_tokens(text: Column) -> Column:
-    return per_word(segments, "array<string>")(text)
+    return per_text(segments, "array<string>")(text)
 
 
 def word_tokens(text: Column) -> Column:
-    return per_word(words, "array<string>")(text)
+    return per_text(words, "array<string>")(text)
 
 
 def ascii_words(text: Column) -> Column:
@@ -110,13 +110,13 @@ def sentence_tokens(text: Column, abbreviations: tuple[str, ...] = ()) -> Column
     for k, a in enumerate(abbreviations):
         if not a:
             raise AbbreviationError(k)
-    return per_word(lambda t: sentences(t, tuple(abbreviations)), "array<string>")(text)
+    return per_text(lambda t: sentences(t, tuple(abbreviations)), "array<string>")(text)
 
 
 def normalized(text: Column, form: str = "NFC") -> Column:
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(form)
-    return per_word(lambda t: unicodedata.normalize(form, t), "string")(text)
+    return per_text(lambda t: unicodedata.normalize(form, t), "string")(text)
 
 
 def without_marks(text: str) -> str:
@@ -125,7 +125,7 @@ def without_marks(text: str) -> str:
 
 
 def remove_diacritics(text: Column) -> Column:
-    return per_word(without_marks, "string")(text)
+    return per_text(without_marks, "string")(text)
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -61,3 +61,68 @@ def test_closure_broadcasts_no_edges(plans, spark, edges):
     got = graphs.closure(edges, spark.createDataFrame([(1,), (5,)], "node long"))
     assert pairs(got) == {(1, 2, 1), (1, 3, 1), (1, 4, 2), (1, 7, 3), (5, 6, 1), (5, 4, 2), (5, 7, 3)}
     assert not any("BroadcastExchange" in p for p in plans)
+
+
+@pytest.fixture
+def body(monkeypatch):
+    """The function that a worker runs on a batch, and the peak of its Python objects in MB."""
+    import tracemalloc
+
+    import pandas as pd
+    import pyarrow as pa
+
+    from quillspark.functions import words
+
+    kept = {}
+
+    class Fake:
+        pandas_udf = staticmethod(lambda f, kind: lambda *c: kept.update(run=lambda x: list(f(x)), batch=lambda v: pd.Series(v, dtype=object)))
+        arrow_udf = staticmethod(lambda f, kind: lambda *c: kept.update(run=f, batch=pa.array))
+
+    monkeypatch.setattr(words, "F", Fake)
+
+    def measured(make, values):
+        make(None)
+        values = kept["batch"](values)
+        tracemalloc.start()
+        out = kept["run"](values)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return out if isinstance(out, list) else out.to_pylist(), peak
+
+    return measured
+
+
+def test_segments_of_many_texts_are_no_objects_at_once(body):
+    from quillspark.functions import text
+
+    batch = [f"{k} " + "ab cd. " * 5000 for k in range(100)]
+    out, peak = body(text.segment_tokens, batch)
+    assert len(out) == 100 and len(out[0]) == 25002
+    assert peak < 60
+
+
+def test_plain_texts_are_not_kept(body):
+    from quillspark.functions import text
+
+    batch = [f"{k} " + "né à " * 20000 for k in range(300)]
+    out, peak = body(text.remove_diacritics, batch)
+    assert out[1] == "1 " + "ne a " * 20000
+    assert peak < 20
+
+
+def test_stems_of_arrays_are_no_objects_at_once(body):
+    from quillspark.functions import stemming
+
+    batch = [["w%d" % (k % 7), None, "x" * 70] * 8000 for k in range(40)] + [None, []]
+    out, peak = body(lambda c: stemming.stems(c, "fa"), batch)
+    assert out[8] == batch[8] and out[40] is None and out[41] == []
+    assert peak < 4
+
+
+def test_texts_and_arrays_with_nulls(spark):
+    from quillspark.functions import stemming, text
+
+    rows = spark.createDataFrame([(0, "né. à", ["running", None]), (1, None, None), (2, "", [])], "id int, t string, w array<string>").coalesce(1)
+    got = rows.select(text.remove_diacritics(F.col("t")), text.segment_tokens(F.col("t")), text.word_tokens(F.col("t")), stemming.stems(F.col("w"), "en")).collect()
+    assert [tuple(r) for r in got] == [("ne. a", ["né", ".", " ", "à"], ["né", "à"], ["run", None]), (None,) * 4, ("", [], [], [])]
