@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.distance import damerau_levenshtein
 from ..functions.text import StopWords, ascii_words
+from ..session import attach
+
+#: Terms of all queries together that are sent to the documents; more meet them in a join.
+ASKED = 200_000
+#: Scores, and products summed into them, that a worker holds at a time.
+CELLS = 1 << 20
 
 
 class Analyzer:
@@ -25,14 +35,15 @@ class Analyzer:
 class TfIdf:
     """A corpus as a postings table (doc, term, tf, first) and its document frequencies.
 
-    Documents are shuffled once, by (doc, term) with partial counts; statistics are aggregates of the postings.
+    Texts are shuffled once, by document, as they are smaller than their postings; statistics are aggregates of the postings.
     """
 
     def __init__(self, docs: DataFrame, key: str, text: str | Column, analyzer: Analyzer | None = None):
         self.analyzer = analyzer or Analyzer()
         column = F.col(text) if isinstance(text, str) else text
         self.documents = docs.select(F.col(key).alias("doc"), self.analyzer.terms(F.coalesce(column, F.lit(""))).alias("terms"))
-        self.postings = self.documents.select("doc", F.posexplode("terms").alias("pos", "term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
+        together = docs.select(F.col(key).alias("doc"), F.coalesce(column, F.lit("")).alias("text")).repartition("doc").select("doc", self.analyzer.terms(F.col("text")).alias("terms"))
+        self.postings = together.select("doc", F.posexplode("terms").alias("pos", "term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.min("pos").alias("first"))
 
     def without(self, doc) -> TfIdf:
         """The corpus without one document."""
@@ -59,8 +70,26 @@ class TfIdf:
     def scores(self, queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
         """(query, doc, score) of documents with a query term; terms of a query count as often as they stand in it."""
         asked = queries.select(F.col(key).alias("query"), F.explode(self.analyzer.terms(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-        weighed = asked.join(self.idf(), "term")
-        return self.postings.join(weighed, "term").groupBy("query", "doc").agg(F.sum(F.col("tf") * F.col("times") * F.col("idf")).alias("score"))
+        rows = asked.limit(ASKED + 1).collect()
+        if len(rows) > ASKED:
+            weighed = asked.join(self.idf(), "term")
+            return self.postings.join(weighed, "term").groupBy("query", "doc").agg(F.sum(F.col("tf") * F.col("times") * F.col("idf")).alias("score"))
+        return self._scores(rows, asked.schema["query"].dataType)
+
+    def _scores(self, rows: list, kind: T.DataType) -> DataFrame:
+        """Scores of few queries: only their terms leave the documents, and a document meets all queries at once."""
+        spark = attach(self.documents.sparkSession)
+        slots, names = {}, {}
+        at = np.array([(slots.setdefault(r["term"], len(slots)), names.setdefault(r["query"], len(names)), r["times"]) for r in rows], np.int64).reshape(-1, 3)
+        known = F.broadcast(spark.createDataFrame(list(slots.items()), "term string, slot int"))
+        found = self.documents.select("doc", F.explode("terms").alias("term")).join(known, "term").groupBy("doc", "slot").agg(F.count("*").alias("tf"))
+        # the counts are named here too, so that both uses read one shuffle
+        df = found.groupBy("slot").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
+        idf = df.crossJoin(F.broadcast(self.size())).select("slot", (1 + F.log(F.col("n_docs") / (1 + F.col("df")))).alias("idf"))
+        weighed = found.join(F.broadcast(idf), "slot").select("doc", "slot", "tf", "idf").repartition("doc").sortWithinPartitions("doc")
+        schema = T.StructType([T.StructField("query", kind), T.StructField("doc", self.documents.schema["doc"].dataType), T.StructField("score", T.DoubleType())])
+        at = at[np.argsort(at[:, 0], kind="stable")]
+        return weighed.mapInArrow(_matcher(at, pa.array(list(names), to_arrow_type(kind)), len(slots)), schema)
 
     def rank(self, query: str, top: int | None = None) -> DataFrame:
         """All documents, 0.0 included, by score downwards and document upwards."""
@@ -71,7 +100,8 @@ class TfIdf:
 
     def list_terms(self) -> DataFrame:
         """(doc, term, tfidf, rank): each document's terms by weight downwards, term upwards."""
-        weighed = self.postings.join(self.idf(), "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("tfidf"))
+        # hashed, not sorted: the vocabulary of a partition is small beside its postings, and these need not spill
+        weighed = self.postings.join(self.idf().hint("shuffle_hash"), "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("tfidf"))
         return weighed.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("tfidf"), "term")))
 
     def save(self, path: str) -> None:
@@ -93,6 +123,58 @@ class TfIdf:
         return out
 
 
+def _matcher(asked: np.ndarray, queries: pa.Array, n_slots: int):
+    """Sorted (doc, slot, tf, idf) batches to (query, doc, score); ``asked`` has (slot, query, times) by slot."""
+    width = len(queries)
+    lengths = np.bincount(asked[:, 0], minlength=n_slots)
+    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+
+    def sums(doc, slot, tf, idf, n):
+        """Scores of ``n`` documents with all queries, and where they have a term in common."""
+        scores, hits = np.zeros(n * width), np.zeros(n * width, bool)
+        ends, i = np.cumsum(lengths[slot]), 0
+        while i < len(slot):
+            j = max(int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CELLS, "right")), i + 1)
+            size = lengths[slot[i:j]]
+            row = np.repeat(np.arange(i, j), size)
+            pick = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins[slot[i:j]], size)
+            cell = doc[row] * width + asked[pick, 1]
+            np.add.at(scores, cell, tf[row] * asked[pick, 2] * idf[row])
+            hits[cell] = True
+            i = j
+        return scores, np.flatnonzero(hits)
+
+    def told(batch):
+        coded = batch.column("doc").combine_chunks().dictionary_encode("encode")
+        docs, doc = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        slot, tf, idf = (batch.column(c).to_numpy() for c in ("slot", "tf", "idf"))
+        step = max(CELLS // max(width, 1), 1)
+        for first in range(0, len(docs), step):
+            n = min(step, len(docs) - first)
+            i, j = np.searchsorted(doc, [first, first + n])
+            scores, at = sums(doc[i:j] - first, slot[i:j], tf[i:j], idf[i:j], n)
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(at % width)), docs.take(pa.array(at // width + first)), pa.array(scores[at])], ["query", "doc", "score"])
+
+    def match(batches):
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            if kept is not None:
+                now = pa.concat_tables([kept, now])
+            # the last document may go on in the next batch
+            codes = now.column("doc").combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            cut = int(np.searchsorted(codes, codes[-1]))
+            kept = now.slice(cut)
+            if cut:
+                yield from told(now.slice(0, cut))
+        if kept is not None:
+            yield from told(kept)
+
+    return match
+
+
 class Trie:
     """A set of keys; prefix questions are range predicates and equi-joins on prefixes."""
 

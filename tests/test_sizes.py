@@ -126,3 +126,46 @@ def test_texts_and_arrays_with_nulls(spark):
     rows = spark.createDataFrame([(0, "né. à", ["running", None]), (1, None, None), (2, "", [])], "id int, t string, w array<string>").coalesce(1)
     got = rows.select(text.remove_diacritics(F.col("t")), text.segment_tokens(F.col("t")), text.word_tokens(F.col("t")), stemming.stems(F.col("w"), "en")).collect()
     assert [tuple(r) for r in got] == [("ne. a", ["né", ".", " ", "à"], ["né", "à"], ["run", None]), (None,) * 4, ("", [], [], [])]
+
+
+def corpus(spark):
+    rows = [(k, " ".join(f"w{(k * j) % 11}" for j in range(k % 5 + 2))) for k in range(60)] + [(3, "w1 w2 w2"), (None, "w1"), (90, None)]
+    return rows, spark.createDataFrame(rows, "doc long, text string").repartition(3)
+
+
+def test_scores_of_few_queries_leave_the_postings_where_they_are(spark, monkeypatch):
+    import math
+    from collections import Counter
+
+    from quillspark.operators import retrieval
+
+    rows, docs = corpus(spark)
+    asked = [("a", "w1 w1 w2 zz"), ("b", "w3"), ("c", "zz"), ("a", "w5")]
+    queries = spark.createDataFrame(asked, "q string, t string")
+    tf, times = Counter(), Counter((q, w) for q, t in asked for w in t.split())
+    for d, t in rows:
+        tf.update((d, w) for w in (t or "").split())
+    df = Counter(w for _, w in tf)
+    want = {}
+    for (d, w), n in tf.items():
+        for q in "abc":
+            if times[q, w]:
+                want[q, d] = want.get((q, d), 0) + n * times[q, w] * (1 + math.log(len(rows) / (1 + df[w])))
+    c = retrieval.TfIdf(docs, "doc", "text")
+    for most, cells in ((200_000, 1 << 20), (200_000, 1), (0, 1)):
+        monkeypatch.setattr(retrieval, "ASKED", most)
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        got = c.scores(queries, "q", "t")
+        assert {(r["query"], r["doc"]): round(r["score"], 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
+        assert ("MapInArrow" in got._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+
+
+def test_postings_are_counted_where_the_texts_of_a_document_meet(spark):
+    from quillspark.operators import retrieval
+
+    c = retrieval.TfIdf(corpus(spark)[1], "doc", "text")
+    plan = c.postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc" in plan and not any("term" in x for x in plan.split("Exchange hashpartitioning(")[1].split(")")[:1])
+    plan = c.list_terms().select("doc", "term", "tfidf")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert c.postings.where("doc = 3 and term = 'w2'").select("tf").first()[0] >= 2
