@@ -169,3 +169,31 @@ def test_postings_are_counted_where_the_texts_of_a_document_meet(spark):
     plan = c.list_terms().select("doc", "term", "tfidf")._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     assert c.postings.where("doc = 3 and term = 'w2'").select("tf").first()[0] >= 2
+
+
+def test_many_substrings_are_searched_in_step(monkeypatch):
+    import random
+
+    from quillspark.functions import distance
+
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abcé\0😀") for _ in range(rnd.choice([0, 1, 3, 9, 14, 40]))) for _ in range(300)]
+    for costs, transpose in ((distance.UNIT, False), (distance.UNIT, True), (distance.Costs(0.7, 1.1, 0.3, 0.25), True), (distance.Costs(0.0, 1.0, 2.0), False)):
+        for source in ("", "b", "abé", "😀bca\0"):
+            want = [distance.search(source, t, costs, transpose) for t in texts]
+            for together in (1, 200, 1 << 20):
+                monkeypatch.setattr(distance, "TOGETHER", together, raising=False)
+                assert distance.search_all(source, texts, costs, transpose) == want
+    calls = []
+    monkeypatch.setattr(distance, "search", lambda *a: calls.append(a))
+    distance.search_all("abc", texts[:0] + ["name %04d" % k for k in range(1000)])
+    assert not calls
+
+
+def test_best_substring_of_columns(spark):
+    from quillspark.functions import distance
+
+    rows = [(s, f"x{k} Zürich, Berlin") for k in range(40) for s in ("Berlin", "urich")] + [(None, "a"), ("a", None)]
+    got = spark.createDataFrame(rows, "s string, t string").select("s", "t", distance.best_substring(F.col("s"), F.col("t")).alias("m")).collect()
+    for r in got:
+        assert tuple(r["m"]) == distance.search(r["s"] or "", r["t"] or "")
