@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,10 +68,63 @@ class Bayes:
         return cls(None, smoothing, spark.read.parquet(f"{path}/classes"), spark.read.parquet(f"{path}/features"))
 
 
+#: Ones of sparse rows that a step of descent spreads out at a time, and rows of weights in a batch.
+_ONES, _ROWS = 1 << 20, 100_000
+
+
+def _columns(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots in order, and as narrow arrays each one's place in them, the ones of each row and whether it has the label."""
+    slots, parts, sizes, y = np.empty(0, np.int64), [], [], []
+    for lists, told in batches:
+        sizes.append(np.fromiter(map(len, lists), np.int32, len(lists)))
+        y.append(told)
+        flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else slots[:0]
+        here, where = np.unique(flat, return_inverse=True)
+        # a batch keeps its own places until all slots are known
+        parts.append((here, where.astype(np.int32)))
+        slots = np.union1d(slots, here)
+    for k, (here, where) in enumerate(parts):
+        parts[k] = np.searchsorted(slots, here).astype(np.int32)[where]
+    none = np.empty(0, np.int32)
+    return slots, np.concatenate(parts or [none]), np.concatenate(sizes or [none]), np.concatenate(y or [none.astype(bool)])
+
+
+def _descent(column: np.ndarray, sizes: np.ndarray, y: np.ndarray, width: int, rounds: int) -> np.ndarray:
+    """The intercept and a weight for each of ``width`` columns."""
+    m = len(sizes)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    cuts = [0]
+    while cuts[-1] < m:
+        base = ends[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(int(np.searchsorted(ends, base + _ONES, "right")), cuts[-1] + 1))
+    theta, rate, last = np.zeros(width + 1), 3.0, math.inf
+    for _ in range(rounds):
+        cost, slope = 0.0, np.zeros(width + 1)
+        for i, j in zip(cuts, cuts[1:]):
+            ones = column[(ends[i - 1] if i else 0) : ends[j - 1]]
+            row = np.repeat(np.arange(j - i), sizes[i:j])
+            p = 1 / (1 + np.exp(-np.clip(theta[0] + np.bincount(row, theta[1:][ones], j - i), -500, 500)))
+            t = y[i:j].astype(float)
+            cost -= np.sum(t * np.log(np.maximum(p, 1e-300)) + (1 - t) * np.log(np.maximum(1 - p, 1e-300)))
+            off = p - t
+            slope[0] += np.sum(off)
+            # only the columns of these rows are touched
+            np.add.at(slope, ones + 1, off[row])
+        cost /= m
+        if cost > last:
+            rate /= 3
+        elif last - cost < 1e-4:
+            break
+        last = cost
+        theta = theta - rate / m * slope
+    return theta
+
+
 class Logistic:
     """One against the rest, by batch gradient descent; the intercept is trained and then left out.
 
-    A class is fitted in a task of its own from its sparse rows; features are told by a 64-bit hash.
+    A class is fitted in a task of its own from its sparse rows; features are told by a 64-bit hash.  The task reads
+    batches and keeps four bytes for each feature of a row; what a round computes from them exists for some rows at a time.
     """
 
     def __init__(self, theta: DataFrame):
@@ -81,29 +137,13 @@ class Logistic:
         rows = examples.where("size(tokens) > 0").select("label", F.transform(F.array_distinct("tokens"), lambda t: F.xxhash64(t)).alias("slots"))
         labels = examples.select(F.col("label").alias("target")).distinct()
 
-        def descend(key, pdf):
-            m = len(pdf)
-            # a row's ones, by row and column; column 0 is the intercept
-            row = np.repeat(np.arange(m), pdf["slots"].map(len))
-            slots, column = np.unique(np.concatenate([np.asarray(x, np.int64) for x in pdf["slots"]]), return_inverse=True)
-            column, width = column + 1, len(slots)
-            y = (pdf["label"] == key[0]).to_numpy(float)
-            theta, rate, last = np.zeros(width + 1), 3.0, math.inf
-            for _ in range(rounds):
-                p = 1 / (1 + np.exp(-np.clip(theta[0] + np.bincount(row, theta[column], m), -500, 500)))
-                cost = -np.mean(y * np.log(np.maximum(p, 1e-300)) + (1 - y) * np.log(np.maximum(1 - p, 1e-300)))
-                if cost > last:
-                    rate /= 3
-                elif last - cost < 1e-4:
-                    break
-                last = cost
-                slope = np.bincount(column, (p - y)[row], width + 1)
-                slope[0] = np.sum(p - y)
-                theta = theta - rate / m * slope
-            import pandas as pd
-
-            return pd.DataFrame({"label": key[0], "slot": slots, "weight": theta[1:]})
+        def descend(key, batches):
+            slots, column, sizes, y = _columns((b["slots"].to_numpy(), (b["label"] == key[0]).to_numpy(bool)) for b in batches)
+            theta = _descent(column, sizes, y, len(slots), rounds)
+            for at in range(0, len(slots), _ROWS):
+                yield pd.DataFrame({"label": key[0], "slot": slots[at : at + _ROWS], "weight": theta[1 + at : 1 + at + _ROWS]})
 
+        descend.__annotations__ = {"key": tuple[Any, ...], "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
         both = labels.crossJoin(rows)
         theta = both.groupBy("target").applyInPandas(descend, "label string, slot long, weight double")
         return cls(theta.join(vocabulary, "slot").select("label", "feature", "weight"))

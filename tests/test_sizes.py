@@ -197,3 +197,41 @@ def test_best_substring_of_columns(spark):
     got = spark.createDataFrame(rows, "s string, t string").select("s", "t", distance.best_substring(F.col("s"), F.col("t")).alias("m")).collect()
     for r in got:
         assert tuple(r["m"]) == distance.search(r["s"] or "", r["t"] or "")
+
+
+def test_descent_holds_narrow_places_and_spreads_a_step(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    from quillspark.operators import classify
+
+    def batches(n):
+        for k in range(n):
+            yield np.array([np.arange(200, dtype=np.int64) * 7 + (k + j) % 50 for j in range(500)], dtype=object), np.arange(500) % 3 == 0
+
+    tracemalloc.start()
+    slots, column, sizes, y = classify._columns(batches(20))
+    theta = classify._descent(column, sizes, y, len(slots), 2)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    # two million ones: 8 MB as places, 16 of each that a round makes for all rows
+    assert len(column) == 2_000_000 and len(theta) == len(slots) + 1 and peak < 70
+    assert (slots[column[:200]] == np.arange(200) * 7).all()
+    whole = classify._descent(column, sizes, y, len(slots), 5)
+    monkeypatch.setattr(classify, "_ONES", 1000)
+    assert np.allclose(classify._descent(column, sizes, y, len(slots), 5), whole, atol=1e-12)
+
+
+def test_logistic_reads_its_rows_in_batches(spark):
+    from quillspark.operators import classify
+
+    rows = [(k, "ab"[k % 2], [("left", "right")[k % 2], f"w{k % 9}"]) for k in range(200)] + [(999, "a", [])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        model = classify.Logistic.fit(spark.createDataFrame(rows, "doc int, label string, tokens array<string>"), 50)
+        got = {(r["label"], r["feature"]): r["weight"] for r in model.theta.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 22 and got["a", "left"] > 1 > -1 > got["a", "right"]
+    assert abs(got["a", "left"] - got["b", "right"]) < 0.5
